@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, decontam, secrets
+from leafmill.llm import chat, decontam, mixing, secrets, simhash
 from leafmill.llm import sql as S
 from leafmill.llm.common import table
 
@@ -14,6 +14,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.Mix(table(spark, sf_dir, "documents")).report()
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and conversation -7 with control strings in its texts."""
     trap = spark.sql("""SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
@@ -21,13 +26,18 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(trap))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document through the blob ledger."""
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op5_chat_format, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op5_chat_format, op8_simhash, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
