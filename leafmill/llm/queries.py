@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, decontam, mixing, secrets, simhash
+from leafmill.llm import chat, decontam, mixing, secrets, simhash, topk
 from leafmill.llm import sql as S
 from leafmill.llm.common import table
 
@@ -31,14 +31,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every fiftieth vector."""
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document through the blob ledger."""
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op5_chat_format, op8_simhash, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op5_chat_format, op8_simhash, op9_top_k, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": S.OP1, "op5_chat_format": S.OP5, "op10_secret_scan": S.OP10}
+    return {"op1_decontaminate": S.OP1, "op5_chat_format": S.OP5, "op9_top_k": S.OP9, "op10_secret_scan": S.OP10}
