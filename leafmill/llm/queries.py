@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, decontam, mixing, secrets, simhash, topk
+from leafmill.llm import chat, decontam, mixing, quality, secrets, simhash, topk
 from leafmill.llm import sql as S
 from leafmill.llm.common import table
 
@@ -19,6 +19,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).report()
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document."""
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and conversation -7 with control strings in its texts."""
     trap = spark.sql("""SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
@@ -42,7 +47,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op5_chat_format, op8_simhash, op9_top_k, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op4_quality, op5_chat_format, op8_simhash, op9_top_k, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
