@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, decontam, mixing, quality, secrets, simhash, topk
+from leafmill.llm import chat, decontam, mixing, pii, quality, secrets, simhash, topk
 from leafmill.llm import sql as S
 from leafmill.llm.common import table
 
@@ -31,6 +31,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(trap))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.report(table(spark, sf_dir, "documents"))
@@ -47,7 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op4_quality, op5_chat_format, op8_simhash, op9_top_k, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op4_quality, op5_chat_format, op7_pii_surrogates, op8_simhash, op9_top_k, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
