@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, decontam, mixing, pii, quality, secrets, simhash, topk
+from leafmill.llm import chat, decontam, linededup, mixing, pii, quality, secrets, simhash, topk
 from leafmill.llm import sql as S
 from leafmill.llm.common import table
 
@@ -19,6 +19,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).report()
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that an earlier one holds already."""
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole document."""
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -52,7 +57,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op4_quality, op5_chat_format, op7_pii_surrogates, op8_simhash, op9_top_k, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_line_dedup, op4_quality, op5_chat_format, op7_pii_surrogates, op8_simhash, op9_top_k, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
