@@ -99,6 +99,17 @@ def judge(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = G
 
     A document is contaminated if at least one in `share` of its words is hit.
     """
+    return _judged(docs, benchmark, span, gram, share).drop("version")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, share: int = 20) -> DataFrame:
+    """docs without the contaminated ones."""
+    bad = _judged(docs, benchmark, span, gram, share).where("contaminated").select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version")).distinct()
+    version = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__doc")) & (version == F.col("__version")), "left_anti")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, span: int, gram: int, share: int) -> DataFrame:
     hits = find(docs, benchmark, span, gram)
     before = Window.partitionBy("doc_id", "version").orderBy("at", "span").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.col("at") + F.col("span") - F.greatest(F.col("at"), F.coalesce(F.max(F.col("at") + F.col("span")).over(before), F.lit(0)))
@@ -109,7 +120,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = G
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
-        "a.doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        "a.doc_id", "a.version", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )

@@ -29,7 +29,7 @@ from leafmill.llm.common import small_arrow_batches
 
 PASSAGE, TRIGRAMS, HIDDEN, ATTENTION = 768, 1024, 24, 12
 TRAIN_DOCS, TRAIN_PASSAGES = 6000, 16
-EPOCHS, BATCH, RATE, DECAY, SEED = 12, 64, 3e-3, 1e-5, 11
+STEPS, BATCH, RATE, DECAY, SEED = 1200, 64, 3e-3, 1e-5, 11
 THRESHOLD, FOLDS, HELD_OUT = 0.7, 4, 2
 #: Bytes of text whose features are in memory at once.
 CHUNK = 1 << 20
@@ -114,7 +114,7 @@ class Model:
         return float(1 / (1 + np.exp(-(z @ self.c))))
 
 
-def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+def train(bags: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: int = SEED) -> Model:
     """Fit on bags of passage features by Adam; labels lie in 0 to 1."""
     if not len(bags) or labels.min() == labels.max():
         return Model(*[np.zeros(0)] * 5, prior=float(labels.mean()) if len(bags) else 0.5)
@@ -122,12 +122,13 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
     shapes = {"w": (FEATURES, HIDDEN), "v": (HIDDEN, ATTENTION), "u": (HIDDEN, ATTENTION), "a": (ATTENTION,), "c": (HIDDEN + 1,)}
     p = {k: (rng.standard_normal(s) * (0.5 if k == "w" else 0.3)).astype(np.float32) for k, s in shapes.items()}
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in p.items()}
+    mean = min(max(float(labels.mean()), 0.01), 0.99)
+    p["c"][-1] = np.log(mean / (1 - mean))
     step = 0
-    for epoch in range(epochs):
+    while step < steps:  # as many steps for few labels as for many
         order = rng.permutation(len(bags))
-        rate = RATE * (1 - epoch / epochs) + 1e-4
         for at in range(0, len(order), BATCH):
-            chosen = order[at : at + BATCH]
+            chosen, rate = order[at : at + BATCH], RATE * max(0.0, 1 - step / steps) + 1e-4
             x = np.concatenate([bags[i] for i in chosen]).astype(np.float32)
             sizes = np.array([len(bags[i]) for i in chosen])
             starts, bag = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(chosen)), sizes)
