@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, decontam, linededup, mixing, pii, quality, secrets, simhash, topk
+from leafmill.llm import chat, decontam, linededup, mixing, pii, quality, secrets, simhash, suffixdedup, topk
 from leafmill.llm import sql as S
 from leafmill.llm.common import table
 
@@ -36,6 +36,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(trap))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeated 200-byte strings cover."""
+    return suffixdedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced."""
     return pii.report(table(spark, sf_dir, "documents"))
@@ -57,7 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_line_dedup, op4_quality, op5_chat_format, op7_pii_surrogates, op8_simhash, op9_top_k, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_line_dedup, op4_quality, op5_chat_format, op6_suffix_dedup, op7_pii_surrogates, op8_simhash, op9_top_k, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
