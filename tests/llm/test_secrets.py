@@ -43,6 +43,6 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     newer = (secrets.RULES[0]._replace(version=2), *secrets.RULES[1:])
     assert {tuple(r.todo) for r in secrets.unseen(secrets.address(first), newer, ledger).collect()} == {("assign",)}
     found = secrets.incremental(both, folder).collect()
-    assert {r.rule for r in found if r.doc_id == 63} == {r.rule for r in found if r.doc_id == 64} == {"pem", "forge", "chat", "live"}
+    assert {r.rule for r in found if r.doc_id == 63} == {r.rule for r in found if r.doc_id == 64} == {"pem", "forge", "chat", "live", "hex"}
     again = secrets.incremental(both, folder).collect()
     assert sorted(map(str, again)) == sorted(map(str, found))
