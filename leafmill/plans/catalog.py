@@ -12,6 +12,7 @@ from leafmill.functions import text as T
 from leafmill.operators import assemble, clean, facts, layout, markdown, paginate, probe, redact, search, tables
 from leafmill.plans import sql as Q
 from leafmill.plans import views as V
+from leafmill.sources import base
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -393,6 +394,67 @@ def t13_residual(spark, d):
     return left.agg(F.count("*").alias("pages"), F.coalesce(F.sum("residual_matches"), F.lit(0)).cast("long").alias("residual_matches"))
 
 
+# --- readers ---
+
+
+def _web(spark, d):
+    return base.read_column(V.table(spark, d, "pages").withColumn("name", F.concat(F.col("page_id").cast("string"), F.lit(".html"))), "name", "html")
+
+
+def _as(spark, d, extension, text):
+    read = V.table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(extension)).alias("name"), text.alias("content"))
+    return base.read_column(read, "name", "content")
+
+
+@query(Q.S06_HTML_META)
+def s06_html_meta(spark, d):
+    """Title, language and links of raw pages."""
+    meta = _web(spark, d).groupBy("doc_id").agg(F.first("meta").alias("m"))
+    return meta.select(F.split("doc_id", "[.]")[0].cast("long").alias("page_id"), F.col("m")["title"].alias("title"), F.col("m")["lang"].alias("lang"), F.col("m")["links"].cast("long").alias("links"))
+
+
+@query()
+def s06_html_blocks(spark, d):
+    """Blocks of raw pages by kind."""
+    return _web(spark, d).groupBy("doc_id", "kind").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).cast("long").alias("characters"))
+
+
+@query(Q.T02_OUTLINE_HTML)
+def t02_outline_html(spark, d):
+    """Headings that raw pages declare."""
+    return markdown.outline(_web(spark, d)).select(F.split("doc_id", "[.]")[0].cast("long").alias("page_id"), "level", "title", "basis")
+
+
+@query()
+def t07_to_markdown(spark, d):
+    """Raw pages as Markdown."""
+    return markdown.to_markdown(_web(spark, d)).select("doc_id", "characters", "headings", "tables", F.md5("markdown").alias("digest"))
+
+
+@query(Q.S07_PARAGRAPHS)
+def s07_paragraphs(spark, d):
+    """Paragraphs between blank lines; some line ends are doubled first."""
+    spread = F.replace(F.coalesce("text", F.lit("")), F.lit("the\n"), F.lit("the\n\n"))
+    spread = F.replace(spread, F.lit(".\n"), F.lit(".\n \n"))
+    return _as(spark, d, ".txt", spread).where("text <> ''").groupBy("doc_id").agg(F.sum(F.length(F.translate("text", "\n", ""))).cast("long").alias("characters"))
+
+
+@query()
+def s08_markdown_blocks(spark, d):
+    """Texts read as Markdown, their first line a heading."""
+    return _as(spark, d, ".md", F.concat(F.lit("# "), F.coalesce("text", F.lit("")))).groupBy("doc_id", "kind").agg(F.count("*").alias("blocks"), F.max("level").alias("level"))
+
+
+@query(Q.S09_CSV)
+def s09_csv_rows(spark, d):
+    """Customers written and read as CSV, by market segment."""
+    line = F.concat_ws(",", "c_custkey", F.concat(F.lit('"'), "c_name", F.lit(', Ltd"')), "c_mktsegment")
+    files = V.table(spark, d, "customer").groupBy("c_nationkey").agg(F.concat_ws("\n", F.lit("key,name,segment"), F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias("content"))
+    rows = base.read_column(files.withColumn("name", F.concat(F.col("c_nationkey").cast("string"), F.lit(".csv"))), "name", "content")
+    cells = rows.select(F.explode("rows").alias("r")).where(F.col("r")[0] != "key")
+    return cells.groupBy(F.col("r")[2].alias("segment")).agg(F.count("*").alias("rows"), F.sum(F.col("r")[0].cast("long")).alias("keys"), F.min(F.col("r")[1]).alias("first_name"))
+
+
 # --- scalar functions ---
 
 

