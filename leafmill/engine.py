@@ -198,7 +198,7 @@ class Engine:
             raise Refused(f"{to} {why}", "convert to txt, md or html", 0, 0)
         text = self.to_markdown(source)["markdown"] if to == "md" else self.extract(source)["text"]
         frame = self.spark.createDataFrame([(source.rsplit("/", 1)[-1], text)], "title string, text string")
-        (frame.select(T.html_page(F.col("title"), F.col("text"))) if to == "html" else frame.select("text")).coalesce(1).write.mode("overwrite").option("lineSep", "").text(out)
+        (frame.select(T.html_page(F.col("title"), F.col("text"))) if to == "html" else frame.select("text")).coalesce(1).write.mode("overwrite").text(out)
         return {"out": out, "to": to, "characters": len(text), "bytes": len(text.encode())}
 
     def redact(self, source: str, pattern: str, pages: str = "", regex: bool = False, out: str = "") -> dict:
