@@ -16,6 +16,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import cut
+
 
 class Rule(NamedTuple):
     """A pattern; group `group` of a match must have `least` code points."""
@@ -108,13 +110,14 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, earlier: DataFrame
     base = len(BASE)
     span = F.struct("start", "k", F.concat_ws(":", "rule", "start", "end").alias("said"))
     joined = lambda c: F.array_join(F.sort_array(c)["said"], ",")
+    # Written out, so that the join below can deal a blob of very many paths to several tasks.
     per_blob = found.groupBy("blob").agg(
         *[F.count_if(F.col("k") == k).alias(f"n_{r.kind}") for k, r in enumerate(rules[:base])],
         F.sha2(joined(F.collect_list(F.when(F.col("k") < base, span))), 256).alias("base_sha256"),
         joined(F.collect_list(span)).alias("spans"),
     )
     none = {f"n_{r.kind}": F.lit(0).cast("long") for r in rules[:base]} | {"base_sha256": F.sha2(F.lit("").cast("binary"), 256), "spans": F.lit("")}
-    return addressed.select("doc_id", "blob").join(per_blob, "blob", "left").select("doc_id", *[F.coalesce(c, e).alias(c) for c, e in none.items()])
+    return addressed.select("doc_id", "blob").join(cut(per_blob), "blob", "left").select("doc_id", *[F.coalesce(c, e).alias(c) for c, e in none.items()])
 
 
 def incremental(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
