@@ -232,7 +232,7 @@ class Engine:
 
     ACTIONS = ("probe", "outline", "find", "extract", "extract_tables", "read_page", "to_markdown", "assemble", "convert", "optimize", "ocr", "protect", "redact")
 
-    def run(self, action: str, **args) -> dict:
+    def run(self, action: str, /, **args) -> dict:
         """Any action by name, as an envelope: a failure is an answer, not an exception."""
         try:
             if action not in self.ACTIONS:

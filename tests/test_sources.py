@@ -165,7 +165,10 @@ def engine(spark, tmp_path_factory):
 
 def test_engine(engine, tmp_path):
     e, folder = engine
-    run = lambda action, name=None, **k: e.run(action, **({"source": f"{folder}/{name}"} if name else {}), **k)
+
+    def run(op, name=None, /, **more):
+        return e.run(op, **({"source": f"{folder}/{name}"} if name else {}), **more)
+
     made = run("probe", "r.md")
     assert made["success"] and made["basis"] == "native" and made["result"]["pages"] == 1 and made["result"]["format"] == "markdown" and made["token_estimate"] > 0
     assert [x["title"] for x in run("outline", "a.html")["result"]["entries"]] == ["Quarterly Review", "Costs", "Outlook"]

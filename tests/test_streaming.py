@@ -1,14 +1,20 @@
 import hashlib
+import time
 from datetime import datetime, timedelta
 
 from leafmill.streaming import ingest
 
 
-def drained(frame, name, mode="append"):
-    query = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(frame, name, mode="append", least=1):
+    """Rows of a stream once they are there; a query with timeouts never runs out of batches."""
+    query = frame.writeStream.format("memory").queryName(name).outputMode(mode).start()
     try:
-        assert query.awaitTermination(90)
-        return frame.sparkSession.table(name).collect()
+        for _ in range(300):
+            rows = frame.sparkSession.table(name).collect()
+            if len(rows) >= least:
+                return rows
+            time.sleep(0.3)
+        return rows
     finally:
         query.stop()
 
@@ -33,10 +39,10 @@ def test_first_seen_windows_and_inbox(spark, tmp_path):
     source = str(tmp_path / "events")
     spark.createDataFrame(rows, "url string, at timestamp").coalesce(1).write.parquet(source)
     stream = lambda: spark.readStream.schema("url string, at timestamp").parquet(source)
-    assert sorted(r.url for r in drained(ingest.first_seen(stream(), "url", "at", ingest.FETCH_TTL), "seen")) == ["a", "b"]
-    counts = drained(ingest.tumbling(stream(), "at", "15 seconds", "1 minute", "url"), "counts", "complete")
+    assert sorted(r.url for r in drained(ingest.first_seen(stream(), "url", "at", ingest.FETCH_TTL), "seen", least=2)) == ["a", "b"]
+    counts = drained(ingest.tumbling(stream(), "at", "15 seconds", "1 minute", "url"), "counts", "complete", least=2)
     assert sorted((r.url, r.start.second, r.n) for r in counts) == [("a", 0, 2), ("b", 15, 1)]
     folder = tmp_path / "inbox"
     folder.mkdir()
     (folder / "n.txt").write_text("one\n\ntwo")
-    assert sorted(r.text for r in drained(ingest.inbox(spark, str(folder)), "arrived")) == ["one", "two"]
+    assert sorted(r.text for r in drained(ingest.inbox(spark, str(folder)), "arrived", least=2)) == ["one", "two"]
