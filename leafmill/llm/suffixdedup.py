@@ -314,18 +314,27 @@ def _key_rows(batches):
 def _segment_rows(batches):
     seen: set = set()  # a segment's bytes leave a task once, or again when this set was full
     for pdf in batches:
-        for text, c1, c2, listed in zip(pdf["text"], pdf["c1"], pdf["c2"], pdf["listed"]):
-            data, made = text.encode("utf-8", "replace"), []
-            for x in listed:
-                piece = data[x["first"] : x["last"] + LENGTH]
+        keys, sids, pieces, owners, firsts = [], [], [], [], []
+        for i, (text, key, first, last) in enumerate(zip(pdf["text"], pdf["keys"], pdf["firsts"], pdf["lasts"])):
+            data = text.encode("utf-8", "replace")
+            for k, a, b in zip(key.tolist(), first.tolist(), (last + LENGTH).tolist()):
+                piece = data[a:b]
                 sid = hashlib.blake2b(piece, digest_size=16).digest()
-                new = (x["key"], sid) not in seen
-                if new:
-                    seen.add((x["key"], sid))
-                made.append((x["key"], sid, piece if new else None, c1, c2, x["first"]))
-            if len(seen) > 300_000:
-                seen.clear()
-            yield pd.DataFrame(made, columns=["key", "sid", "piece", "c1", "c2", "first"])
+                named = (k, sid)
+                if named in seen:
+                    piece = None
+                else:
+                    seen.add(named)
+                sids.append(sid)
+                pieces.append(piece)
+            keys.append(key)
+            firsts.append(first)
+            owners.append(np.full(len(key), i))
+        if len(seen) > 300_000:
+            seen.clear()
+        owner = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64)
+        joined = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
+        yield pd.DataFrame({"key": joined(keys), "sid": sids, "piece": pieces, "c1": pdf["c1"].to_numpy()[owner], "c2": pdf["c2"].to_numpy()[owner], "first": joined(firsts)})
 
 
 def _runs(flags: np.ndarray) -> list[dict]:
@@ -349,9 +358,9 @@ def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
 def _digest_rows(batches):
     for pdf in batches:
         made = []
-        for text, c1, c2, runs in zip(pdf["text"], pdf["c1"], pdf["c2"], pdf["runs"]):
+        for text, c1, c2, low, high in zip(pdf["text"], pdf["c1"], pdf["c2"], pdf["low"], pdf["high"]):
             data, spans = text.encode("utf-8", "replace"), []
-            for a, b in sorted((r["a"], r["b"] + LENGTH - 1) for r in runs):
+            for a, b in sorted(zip(low.tolist(), (high + (LENGTH - 1)).tolist())):
                 if spans and a <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], b)
                 else:
@@ -402,7 +411,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     listed = folder.keep("listed", listed.join(copies, ["c1", "c2"]))
     folder.drop("keys")
     same = lambda other: F.col("t.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("t.c1") == F.col(f"{other}.c1")) & (F.col("t.c2") == F.col(f"{other}.c2"))
-    texts = read.alias("t").join(listed.alias("l").hint("shuffle_hash"), same("l")).select("t.text", "t.c1", "t.c2", "l.listed")
+    texts = read.alias("t").join(listed.alias("l").hint("shuffle_hash"), same("l"))
+    texts = texts.select("t.text", "t.c1", "t.c2", F.col("l.listed.key").alias("keys"), F.col("l.listed.first").alias("firsts"), F.col("l.listed.last").alias("lasts"))
     found = folder.keep("segments", texts.mapInPandas(_segment_rows, SEGMENT_ROWS))
     distinct = found.groupBy("key", "sid").agg(F.max("piece").alias("piece"), F.count("*").alias("n"))
     size = found.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
@@ -416,7 +426,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     back = back.join(listed.where("copies = 1").select("c1", "c2", "doc_id"), ["c1", "c2"])
     back = folder.keep("back", back)
     folder.drop("segments", "runs", "listed")
-    texts = read.alias("t").join(back.alias("l").hint("shuffle_hash"), same("l")).select("t.text", "t.c1", "t.c2", "l.runs")
+    texts = read.alias("t").join(back.alias("l").hint("shuffle_hash"), same("l")).select("t.text", "t.c1", "t.c2", F.col("l.runs.a").alias("low"), F.col("l.runs.b").alias("high"))
     made = texts.mapInPandas(_digest_rows, "c1 long, c2 long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>")
     return folder.keep("digests", made)
 
