@@ -135,14 +135,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def group(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, n_rows, fp, component_id): one row per distinct (doc_id, text)."""
+    """(doc_id, version, n_rows, fp, component_id, root): one row per distinct (doc_id, text).
+
+    root is the component's fingerprint, which is never null as component_id can be.
+    """
     prints = cut(fingerprints(docs))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = cut(components(links(distinct.select("fp"))))
     named = linked.join(distinct, "fp")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = distinct.join(linked.join(least, "root"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "version", "n_rows", "fp", "component_id")
+    classes = distinct.join(linked.join(least, "root"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return prints.join(classes, "fp").select("doc_id", "version", "n_rows", "fp", "component_id", "root")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -151,8 +154,25 @@ def report(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """docs with one row of each root in grouped (doc_id, version, n_rows, root).
+
+    The least (doc_id, version) stays, null ids last; of equal rows one. Ids play no part in
+    telling components apart: they can be null or have two texts.
+    """
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version", "n_rows"))
+    kept = cut(grouped.groupBy("root").agg(place.alias("k")).select(F.col("k.doc_id").alias("__kept"), F.col("k.version").alias("__version"), F.col("k.n_rows").alias("__n")))
+    rows = docs.withColumn("__v", F.xxhash64(F.coalesce("text", F.lit(""))))
+    left = rows.join(kept.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(F.col("__kept")) & (F.col("__v") == F.col("__version")), "left_semi")
+    repeated = not kept.where("__n > 1").isEmpty()
+    return (left.dropDuplicates(["doc_id", "__v"]) if repeated else left).drop("__v")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one that names it."""
+    """docs with one document of each component: the one that names it, and one row of an id.
+
+    Where ids are null or repeat, one_of_each() keeps every component.
+    """
     grouped = cut(group(docs))
     names = F.col("doc_id").eqNullSafe(F.col("component_id"))
     kept = grouped.where(names).groupBy("doc_id").agg(F.min("version").alias("version"))

@@ -72,3 +72,10 @@ def test_keep_one_and_empty(spark):
     named = [r.component_id for r in simhash.group(docs).select("component_id").distinct().collect()]
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({n for n in named if n is not None})
     assert simhash.report(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_no_component_goes_with_its_id(spark):
+    rows = [(None, f"text number {i} of nobody {'abcdefgh'[i] * 9} {i * i} said here") for i in range(6)] + [(4, "one text of the id four here"), (4, "something else under that very id"), (None, "one text of the id four here"), (5, "twice"), (5, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.one_of_each(docs, simhash.group(docs)).collect()]
+    assert sorted(kept, key=str) == sorted({r for r in rows if r != (None, "one text of the id four here")}, key=str)
