@@ -27,16 +27,24 @@ KEY = "surrogates-1"
 MOST_DRAWS = 12
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IP = rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)"
+#: What may stand between a phone's digits; no number goes on into an address behind it.
+_GAP = rf"[^\p{{L}}\p{{N}}\n]{{0,6}}(?!{_IP})"
 _TITLE_M, _TITLE_F = r"Mr|Sir|Herrn?|Monsieur|Señor|Signor|Господин|Г-н", r"Mrs|Ms|Miss|Lady|Frau|Fräulein|Madame|Mademoiselle|Señora|Señorita|Signora|Госпожа|Г-жа"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
 #: Kind and pattern; the first that matches at a place wins.
 PATTERNS = (
     ("email", r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"),
-    ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
-    ("ip", rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)"),
-    ("phone", r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[^\p{L}\p{N}\n]{0,6}\(?\d{2,4}\)?(?:[^\p{L}\p{N}\n]{0,6}\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])"),
+    ("iban", rf"(?<![\p{{L}}\p{{N}}])[A-Z]{{2}}\d{{2}}(?:(?:(?: (?!{_IP}))?[A-Z0-9]{{4}}){{3,7}}(?:(?: (?!{_IP}))?[A-Z0-9]{{1,3}})?|(?: ?[A-Z0-9]{{4}}){{2}}(?: (?!{_IP}))?[A-Z0-9]{{3}})(?![\p{{L}}\p{{N}}])"),
+    ("ip", _IP),
+    # Country 1 has ten digits more; elsewhere numbers differ in length and go as far as their groups.
+    (
+        "phone",
+        rf"(?<![\p{{L}}\p{{N}}])(?:\+1{_GAP}\(?\d{{3}}\)?{_GAP}\d{{3}}{_GAP}\d{{4}}|\+\d{{1,3}}[^\p{{L}}\p{{N}}\n]{{0,6}}\(?\d{{2,4}}\)?(?:{_GAP}\d{{2,4}}){{1,4}}"
+        r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])",
+    ),
     ("ssn", r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"),
-    ("card", r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"),
+    ("card", rf"(?<![\p{{L}}\p{{N}}])\d(?:(?:[ -](?!{_IP}))?\d){{12,18}}(?![\p{{L}}\p{{N}}])"),
     ("name", rf"(?<!\p{{L}})(?:{_TITLE_M}|{_TITLE_F}|Dr|Prof|Mx)\.? {_NAME}(?: {_NAME})?"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)

@@ -64,3 +64,19 @@ def test_pseudonymise_keeps_columns_and_reruns_agree(spark):
     assert a.columns == docs.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert a.where("n_chars <> length(text)").count() == 0
     assert pii.report(docs.limit(0)).count() == 0
+
+
+def test_a_number_ends_before_an_address(spark):
+    texts = [
+        (1, "+1 (826) 555-4081 190.137.223.204"), (2, "+1 826 555 4081"), (3, "Card 4111111111111111 97.51.17.173"), (4, "+49 30 1234567 97.51.17.173"), (5, "+1.826.555.4081 90 men"),
+        (6, "NO93 8601 1117 947 and NO9386011117947"), (7, "ES9121000418450200051332 190.137.223.204"), (8, "+49 30 12 34 56 78"), (9, "+49.30.12.34.56.78"),
+    ]
+    rows = {r.doc_id: r for r in pii.report(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {i: r.kinds for i, r in rows.items()} == {1: "phone,ip", 2: "phone", 3: "card,ip", 4: "phone,ip", 5: "phone", 6: "iban,iban", 7: "iban,ip", 8: "phone", 9: "phone"}
+    digits = lambda s: re.sub(r"\D", "", s)
+    assert digits(rows[1].text.rsplit(" ", 1)[0]) == digits(rows[2].text) == digits(rows[5].text[:15]) and rows[5].text.endswith(" 90 men")
+    ips = {rows[i].text.rsplit(" ", 1)[1] for i in (1, 7)}
+    assert len(ips) == 1 and "190.137.223.204" not in ips and ".223.204" not in rows[1].text
+    assert rows[3].text.rsplit(" ", 1)[1] == rows[4].text.rsplit(" ", 1)[1] != "97.51.17.173"
+    a, b = re.match(r"(NO\d\d \d{4} \d{4} \d{3}) and (NO\d{13})$", rows[6].text).groups()
+    assert a.replace(" ", "") == b != "NO9386011117947"
