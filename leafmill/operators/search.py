@@ -158,9 +158,9 @@ def first_matches(matches: DataFrame, most: int = 50, budget: Budget = Budget())
 
 
 def passages(pages: DataFrame, patterns: DataFrame, gram: int = 8) -> DataFrame:
-    """(item_id, doc_id, page): which passages each page contains, character by character.
+    """(item_id, doc_id, page): which passages of three words or more each page contains, character by character.
 
-    A passage is joined by the hash of its first `gram` words, whose places in a page are
+    Shorter ones are short_passages()'s. A passage is joined by the hash of its first `gram` words, whose places in a page are
     few, so pages and passages never meet all with all.
     """
     key = lambda words: F.xxhash64(words)
@@ -176,10 +176,29 @@ def passages(pages: DataFrame, patterns: DataFrame, gram: int = 8) -> DataFrame:
         at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1))
         grams = words.select("doc_id", "page", "w", F.explode(at).alias("at")).select("doc_id", "page", F.lit(n).alias("n"), key(F.slice("w", F.col("at"), n)).alias("key"))
         found = grams if found is None else found.unionByName(grams)
-    short = items.where("n < 1").select("item_id", "passage")
     if found is None:
-        near = pages.select("doc_id", "page").limit(0).crossJoin(short.limit(0))
+        near = pages.select("doc_id", "page").limit(0).crossJoin(inner.select("item_id", "passage").limit(0))
     else:
         near = found.join(inner, ["n", "key"]).select("doc_id", "page", "item_id", "passage").distinct()
     texts = searched(pages).select("doc_id", "page", "text")
     return near.join(texts, ["doc_id", "page"]).where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id", "page")
+
+
+def short_passages(pages: DataFrame, patterns: DataFrame, gram: int = 8) -> DataFrame:
+    """(item_id, doc_id, page): which passages of one or two words each page contains, character by character.
+
+    Both words may be parts of a page's words, so a passage is joined by its first `gram`
+    characters; the pages are cut into characters only if there is such a passage.
+    """
+    words = F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "))
+    items = patterns.where((F.length(F.trim("text")) > 0) & (words <= 2)).select("item_id", F.col("text").alias("passage"))
+    items = items.withColumn("n", F.least(F.length("passage"), F.lit(gram)))
+    items = items.withColumn("key", F.xxhash64(F.substring(F.col("passage"), F.lit(1), F.col("n"))))
+    sizes = [r["n"] for r in items.select("n").distinct().collect()]  # at most `gram` numbers
+    texts = searched(pages).select("doc_id", "page", "text")
+    near = pages.select("doc_id", "page").limit(0).crossJoin(items.select("item_id", "passage").limit(0))
+    for n in sizes:
+        at = F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - n + 1))
+        grams = texts.select("doc_id", "page", "text", F.explode(at).alias("at")).select("doc_id", "page", F.xxhash64(F.substring(F.col("text"), F.col("at"), F.lit(n))).alias("key"))
+        near = near.unionByName(grams.join(items.where(F.col("n") == n), "key").select("doc_id", "page", "item_id", "passage"))
+    return near.distinct().join(texts, ["doc_id", "page"]).where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id", "page")

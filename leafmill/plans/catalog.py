@@ -66,7 +66,8 @@ def t03_find_regex_groups(spark, d):
 def x01_find_benchmark_passages(spark, d):
     """Which texts hold which benchmark passage whole."""
     pages = V.table(spark, d, "documents").select(F.col("doc_id"), F.lit(1).alias("page"), "text", F.lit("native").alias("basis"))
-    return search.passages(pages, V.table(spark, d, "benchmark")).select("item_id", "doc_id")
+    items = V.table(spark, d, "benchmark")
+    return search.passages(pages, items).unionByName(search.short_passages(pages, items)).select("item_id", "doc_id")
 
 
 # --- selections and assembly ---

@@ -121,3 +121,12 @@ def test_find(spark):
     passages = spark.createDataFrame([(1, "ant. Two"), (2, "One"), (3, "One ant.\nTwo ANTS")], "item_id int, text string")
     texts = pages.withColumn("text", F.col("text"))
     assert {tuple(r)[:1] + (r.page,) for r in search.passages(texts, passages).collect()} == {(3, 1)}
+
+
+def test_passages_of_any_length_match_brute_force(spark):
+    texts = {1: "One ant.\nTwo ANTS (x)", 2: "", 3: "an ant, a phone: antsy", 4: "ONE"}
+    items = {1: "ant. Two", 2: "One", 3: "One ant.\nTwo ANTS", 4: "ne an", 5: "a", 6: "antsy", 7: "phone: ants", 8: "none here", 9: "ant.\nTwo"}
+    pages = spark.createDataFrame([("d", p, t, "native") for p, t in texts.items()], "doc_id string, page int, text string, basis string")
+    wanted = spark.createDataFrame(list(items.items()), "item_id int, text string")
+    got = [(r.item_id, r.page) for r in search.passages(pages, wanted).unionByName(search.short_passages(pages, wanted)).collect()]
+    assert sorted(got) == sorted((i, p) for i, s in items.items() for p, t in texts.items() if s in t)
