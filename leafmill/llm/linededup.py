@@ -1,13 +1,14 @@
 """Substring dedup by line hashing.
 
 Units are lines, or paragraphs between blank lines; a unit of more than LONG_WORDS words is
-cut at its sentence ends, so that a passage is found inside a longer line too. Units are
-normalised (case, blanks) and digested; equal digests are grouped over the whole corpus, the
+cut at its sentence ends, so that a passage is found inside a longer line too; the line as a
+whole counts as well, whatever its pieces are, and goes with all of them. Units are normalised (case, blanks) and digested; equal digests are grouped over the whole corpus, the
 earliest occurrence by (doc_id, version, place) stays and the others are removed. Offsets
 are code points of the original text.
 
-Defined cases: a null text is empty; units of fewer than `least` words always stay; a null
-doc_id ranks first; rows that share a doc_id are ranked by a hash of their text, and rows
+Defined cases: a null text is empty; blank lines always stay; whole lines of fewer than
+`least_line` words stay; pieces of a line of fewer than `least`
+words and PIECE_CHARS characters stay unless their line goes; a null doc_id ranks first; rows that share a doc_id are ranked by a hash of their text, and rows
 that repeat a text under one id share their fate; a table without rows gives none; extra
 columns are kept by deduplicated() and ignored by report().
 """
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import small_arrow_batches
 
 LEAST_WORDS, LONG_WORDS = 5, 12
+#: A piece of so many characters counts however few blanks it has.
+PIECE_CHARS = 20
 #: Where units end; the separator stays with what it ends.
 HARD = {"line": r"(?<=\n)", "paragraph": r"(?<=\n)(?=[^\n])(?<=\n\s{0,8}\n)"}
 
@@ -29,10 +32,15 @@ def _text() -> Column:
     return F.coalesce("text", F.lit(""))
 
 
+def pieces(text: Column, unit: str = "line", long_words: int = LONG_WORDS) -> Column:
+    """The lines of a text in order, each as its pieces."""
+    whole = F.split(text, HARD[unit], -1)
+    return F.transform(whole, lambda u: F.when(F.size(F.split(u, " ", long_words + 2)) > long_words, F.split(u, r"(?<=[.!?] )", -1)).otherwise(F.array(u)))
+
+
 def units(text: Column, unit: str = "line", long_words: int = LONG_WORDS) -> Column:
     """The units of a text in order; joined they give the text back."""
-    whole = F.split(text, HARD[unit], -1)
-    return F.flatten(F.transform(whole, lambda u: F.when(F.size(F.split(u, " ", long_words + 2)) > long_words, F.split(u, r"(?<=[.!?] )", -1)).otherwise(F.array(u))))
+    return F.flatten(pieces(text, unit, long_words))
 
 
 def normal(unit: Column) -> Column:
@@ -40,15 +48,23 @@ def normal(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"[\x00-\x20]+", " "))
 
 
-def _occurrences(docs: DataFrame, unit: str, least: int) -> DataFrame:
-    rows = docs.select("doc_id", F.xxhash64(_text()).alias("version"), F.posexplode(units(_text(), unit)).alias("at", "unit"))
-    rows = rows.withColumn("unit", normal(F.col("unit"))).where(F.length("unit") - F.length(F.translate("unit", " ", "")) >= least - 1)
-    return rows.select(F.unhex(F.md5("unit")).alias("digest"), F.struct("doc_id", "version", "at").alias("place")).where(F.length("unit") > 0)
+def _occurrences(docs: DataFrame, unit: str, least: int, least_line: int) -> DataFrame:
+    """(digest, place): at counts lines in its upper half; in the lower, 0 is the line and k its k-th piece."""
+    rows = docs.select("doc_id", F.xxhash64(_text()).alias("version"), F.posexplode(pieces(_text(), unit)).alias("n", "pieces"))
+    # A line with one piece that is not blank is that piece: it counts once.
+    several = (F.size("pieces") > 1) & (F.size(F.filter("pieces", lambda p: p.rlike(r"[^\x00-\x20]"))) > 1)
+    line = F.array(F.array_join("pieces", ""))
+    both = F.when(several, F.concat(line, "pieces")).otherwise(line)
+    rows = rows.select("doc_id", "version", "n", F.posexplode(F.transform(both, normal)).alias("k", "unit")).where(F.length("unit") > 0)
+    words = F.length("unit") - F.length(F.translate("unit", " ", "")) + 1
+    counts = ((F.col("k") == 0) & (words >= least_line)) | ((F.col("k") > 0) & ((words >= least) | (F.length("unit") >= PIECE_CHARS)))
+    at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("k").cast("long")).alias("at")
+    return rows.where(counts).select(F.unhex(F.md5("unit")).alias("digest"), F.struct("doc_id", "version", at).alias("place"))
 
 
-def removals(docs: DataFrame, unit: str = "line", least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, version, removed): indexes of the units to remove, ascending."""
-    found = _occurrences(docs, unit, least)
+def removals(docs: DataFrame, unit: str = "line", least: int = LEAST_WORDS, least_line: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, version, removed): places of the lines and pieces to remove, ascending."""
+    found = _occurrences(docs, unit, least, least_line)
     kept = found.groupBy("digest").agg(F.min("place").alias("kept"), F.max("place").alias("last")).where("kept <> last").select("digest", "kept")
     later = found.join(kept, "digest").where("place <> kept")
     return later.groupBy("place.doc_id", "place.version").agg(F.sort_array(F.collect_set("place.at")).alias("removed"))
@@ -56,33 +72,39 @@ def removals(docs: DataFrame, unit: str = "line", least: int = LEAST_WORDS) -> D
 
 def _apply(batches):
     for pdf in batches:
-        made = {"text": [], "spans": [], "n_units": []}
-        for pieces, removed in zip(pdf["units"], pdf["removed"]):
-            gone, at, kept, spans = set() if removed is None else set(removed), 0, [], []
-            for i, piece in enumerate(pieces):
-                if i not in gone:
-                    kept.append(piece)
-                elif spans and spans[-1][1] == at:
-                    spans[-1][1] = at + len(piece)
-                else:
-                    spans.append([at, at + len(piece)])
-                at += len(piece)
+        made = {"text": [], "spans": [], "n_units": [], "n_removed": []}
+        for lines, removed in zip(pdf["lines"], pdf["removed"]):
+            gone, at, kept, spans, n_units, n_removed = set() if removed is None else set(removed), 0, [], [], 0, 0
+            for n, line in enumerate(lines):
+                whole = n << 32 in gone
+                for k, piece in enumerate(line, 1):
+                    if not whole and n << 32 | k not in gone:
+                        kept.append(piece)
+                    else:
+                        n_removed += 1
+                        if spans and spans[-1][1] == at:
+                            spans[-1][1] = at + len(piece)
+                        else:
+                            spans.append([at, at + len(piece)])
+                    at += len(piece)
+                n_units += len(line)
             made["text"].append("".join(kept))
             made["spans"].append([f"{a}:{b}" for a, b in spans])
-            made["n_units"].append(len(pieces))
-        yield pdf.drop(columns=["units", "removed"]).assign(**made)
+            made["n_units"].append(n_units)
+            made["n_removed"].append(n_removed)
+        yield pdf.drop(columns=["lines", "removed"]).assign(**made)
 
 
-def deduplicated(docs: DataFrame, unit: str = "line", least: int = LEAST_WORDS, keep: tuple[str, ...] | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, unit: str = "line", least: int = LEAST_WORDS, keep: tuple[str, ...] | None = None, least_line: int = LEAST_WORDS) -> DataFrame:
     """docs (or the columns in keep) with text cut, and n_units, n_removed and spans."""
     small_arrow_batches(docs.sparkSession, 256)
-    keep = [c for c in (keep or docs.columns) if c not in ("text", "n_units", "n_removed", "spans", "removed", "units")]
-    gone = removals(docs, unit, least).select(F.col("doc_id").alias("__doc"), F.col("version").alias("__v"), "removed")
+    keep = [c for c in (keep or docs.columns) if c not in ("text", "n_units", "n_removed", "spans", "removed", "lines")]
+    gone = removals(docs, unit, least, least_line).select(F.col("doc_id").alias("__doc"), F.col("version").alias("__v"), "removed")
     rows = docs.select(*keep, _text().alias("__text"), F.xxhash64(_text()).alias("__version"), F.col("doc_id").alias("__id"))
     rows = rows.join(gone.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__version") == F.col("__v")), "left")
-    rows = rows.select(*keep, units(F.col("__text"), unit).alias("units"), "removed", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("units", "removed"))
-    return rows.mapInPandas(_apply, f"{types}, text string, spans array<string>, n_units long")
+    rows = rows.select(*keep, pieces(F.col("__text"), unit).alias("lines"), "removed")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("lines", "removed"))
+    return rows.mapInPandas(_apply, f"{types}, text string, spans array<string>, n_units long, n_removed long")
 
 
 def report(docs: DataFrame) -> DataFrame:

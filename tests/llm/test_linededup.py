@@ -65,3 +65,16 @@ def test_shapes(spark):
     docs = documents(spark, TEXTS)
     assert linededup.report(docs).count() == docs.count() and linededup.report(docs.limit(0)).count() == 0
     assert set(docs.columns) <= set(linededup.deduplicated(docs).columns)
+
+
+def test_a_long_line_of_short_sentences_goes_whole(spark):
+    line = " ".join(f"W{i}!! GO{i}!!" for i in range(60)) + "\n"
+    docs = spark.createDataFrame([(1, "begin with this one\n" + line), (2, line + "end of the second"), (3, "x " + line)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed, r.spans) for r in linededup.deduplicated(docs).collect()}
+    assert got[1][1] == 0 and got[2] == ("end of the second", 120, [f"0:{len(line)}"]) and got[3][1] == 0
+
+
+def test_a_line_is_no_copy_of_its_only_piece(spark):
+    line = "One sentence of more than twelve words that ends before a blank and a break. \n"
+    docs = spark.createDataFrame([(1, line), (2, line + "more")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.deduplicated(docs, least_line=1).collect()} == {1: line, 2: "more"}
