@@ -7,7 +7,7 @@ earliest occurrence by (doc_id, version, place) stays and the others are removed
 are code points of the original text.
 
 Defined cases: a null text is empty; blank lines always stay; whole lines of fewer than
-`least_line` words stay; pieces of a line of fewer than `least`
+`least_line` words stay (report() has no such minimum); pieces of a line of fewer than `least`
 words and PIECE_CHARS characters stay unless their line goes; a null doc_id ranks first; rows that share a doc_id are ranked by a hash of their text, and rows
 that repeat a text under one id share their fate; a table without rows gives none; extra
 columns are kept by deduplicated() and ignored by report().
@@ -109,5 +109,5 @@ def deduplicated(docs: DataFrame, unit: str = "line", least: int = LEAST_WORDS,
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_units, n_removed, spans, kept_sha256."""
-    made = deduplicated(docs, keep=("doc_id",))
+    made = deduplicated(docs, keep=("doc_id",), least_line=1)
     return made.select("doc_id", "n_units", "n_removed", F.array_join("spans", ",").alias("spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -74,6 +74,13 @@ def test_a_long_line_of_short_sentences_goes_whole(spark):
     assert got[1][1] == 0 and got[2] == ("end of the second", 120, [f"0:{len(line)}"]) and got[3][1] == 0
 
 
+def test_short_lines_go_from_the_report(spark):
+    verse = "all rights reserved.\n\n全部の権利は留保されています。\nverse\n"
+    docs = spark.createDataFrame([(1, verse), (2, "other\n" + verse), (3, " Verse \nnone")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_units, r.n_removed, r.spans) for r in linededup.report(docs).collect()}
+    assert got == {1: (5, 0, ""), 2: (6, 3, "6:27,28:50"), 3: (2, 1, "0:8")}
+
+
 def test_a_line_is_no_copy_of_its_only_piece(spark):
     line = "One sentence of more than twelve words that ends before a blank and a break. \n"
     docs = spark.createDataFrame([(1, line), (2, line + "more")], "doc_id long, text string")
