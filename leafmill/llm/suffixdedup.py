@@ -7,10 +7,9 @@
    Equal segments become one, with their number, so a passage that a third of all documents
    hold is one row of a shard.
 3. Suffix arrays. A shard sorts the suffixes of its segments by induced sorting (SA-IS):
-   suffixes are classified, leftmost-smaller substrings sorted and named, the reduced string
-   solved (by doubling the names' ranks, which numpy can do where it can't loop), and the
-   array induced bucket by bucket. The permuted common prefixes then tell which strings
-   occur again.
+   suffixes are classified, leftmost-smaller substrings sorted and named, the string of names
+   sorted in the same way, level by level, and the array induced, many buckets at a time. The
+   permuted common prefixes then tell which strings occur again.
 4. Documents. Repeated strings are joined back to the documents and their bytes removed.
 
 Defined cases: a null text is empty; texts under LENGTH bytes stay whole; a text that
@@ -22,14 +21,13 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from uuid import uuid4
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ensure_checkpoints, small_arrow_batches
+from leafmill.llm.common import Folder, small_arrow_batches, version_of
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -115,126 +113,137 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return text, key, first - begins[text], last - begins[text]
 
 
-def _deal(queues: list[list], chars: np.ndarray, places: np.ndarray) -> None:
-    """Append places to the queues of their characters, in order."""
-    order = np.argsort(chars, kind="stable")
-    chars, places = chars[order], places[order]
-    edge = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]])
-    for c, a, b in zip(chars[edge].tolist(), edge.tolist(), edge[1:].tolist() + [len(chars)]):
-        queues[c].append(places[a:b])
+def _cuts(low: np.ndarray, high: np.ndarray, size: int) -> list[int]:
+    """Bounds of the fewest ranges of characters that hold no pair low < high both."""
+    nearest = np.full(size + 1, size, dtype=np.int64)
+    np.minimum.at(nearest, low, high)
+    nearest = np.minimum.accumulate(nearest[::-1])[::-1]
+    made = [0]
+    while made[-1] < size:
+        made.append(int(nearest[made[-1]]))
+    return made
+
+
+class _Buckets:
+    """Places sorted by their character, filled in the order of arrival."""
+
+    def __init__(self, text: np.ndarray, members: np.ndarray, size: int):
+        self.text, counts = text, np.bincount(text[members], minlength=size)
+        self.start = np.r_[0, np.cumsum(counts)]
+        self.next, self.held = self.start[:-1].copy(), np.empty(len(members), dtype=np.int64)
+        self.char = np.repeat(np.arange(size), counts)
+
+    def put(self, places: np.ndarray) -> None:
+        if not len(places):
+            return
+        chars = self.text[places]
+        by = np.argsort(chars, kind="stable")
+        chars = chars[by]
+        first = np.concatenate(([0], np.flatnonzero(chars[1:] != chars[:-1]) + 1))
+        ends = np.append(first[1:], len(chars))
+        heads, count = chars[first], ends - first
+        self.held[np.arange(len(chars)) + np.repeat(self.next[heads] - first, count)] = places[by]
+        self.next[heads] += count
+
+    def complete(self, low: int, high: int) -> bool:
+        return bool((self.next[low:high] == self.start[low + 1 : high + 1]).all())
+
+    def arrived(self, low: int, high: int) -> np.ndarray:
+        at = np.arange(self.start[low], self.start[high])
+        return self.held[at[at < self.next[self.char[at]]]]
+
+    def whole(self, low: int, high: int) -> np.ndarray:
+        return self.held[self.start[low] : self.start[high]]
 
 
 def _induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
-    """The suffix array that sorted leftmost-smaller suffixes induce: L-types, then S-types."""
-    queues: list[list] = [[] for _ in range(size)]
-    seed_chars = text[seeds]
-    bounds = np.searchsorted(seed_chars, np.arange(size + 1))
-    larger: list[np.ndarray] = []
-    for c in range(size):
-        made = []
-        now = np.concatenate(queues[c]) if queues[c] else seeds[:0]
-        while len(now):
-            made.append(now)
-            before = now[now > 0] - 1
-            before = before[~is_s[before]]
-            chars = text[before]
-            same = chars == c
-            if len(before):
-                _deal(queues, chars[~same], before[~same]) if not same.all() else None
-            now = before[same]
-        larger.append(np.concatenate(made) if made else seeds[:0])
-        own = seeds[bounds[c] : bounds[c + 1]]
-        before = own[own > 0] - 1
-        if len(before):
-            _deal(queues, text[before], before)
-    queues = [[] for _ in range(size)]
-    whole = [seeds[:0]] * size
-    for c in range(size - 1, -1, -1):
-        made = []
-        now = np.concatenate(queues[c]) if queues[c] else seeds[:0]
-        if c == 0:
-            now = seeds[bounds[0] : bounds[1]][::-1]  # separators keep the order of their places
-        while len(now):
-            made.append(now)
-            before = now[now > 0] - 1
-            before = before[is_s[before] & (text[before] > 0)]
-            chars = text[before]
-            same = chars == c
-            if len(before) and not same.all():
-                _deal(queues, chars[~same], before[~same])
-            now = before[same]
-        smaller = np.concatenate(made) if made else seeds[:0]
-        before = larger[c][::-1]
-        before = before[before > 0] - 1
-        before = before[is_s[before] & (text[before] > 0)]
-        if len(before):
-            _deal(queues, text[before], before)
-        whole[c] = np.concatenate([larger[c], smaller[::-1]])
-    return np.concatenate(whole)
+    """The suffix array that sorted leftmost-smaller suffixes induce: L-types, then S-types.
+
+    A suffix is induced by the next. Buckets are scanned in order, as many at a time as hold
+    no suffix that induces one of another bucket among them; inside a bucket, equal
+    neighbours induce each other in rounds.
+    """
+    same = np.concatenate(([False], text[:-1] == text[1:]))
+    first = np.zeros(len(text), dtype=bool)
+    first[0] = True
+    smaller_before = np.concatenate(([False], is_s[:-1]))
+
+    def scan(buckets: _Buckets, twin: np.ndarray, low: int, high: int) -> np.ndarray:
+        if not buckets.complete(low, high):
+            now = buckets.arrived(low, high)
+            while len(now := now[twin[now]] - 1):
+                buckets.put(now)
+        return buckets.whole(low, high)
+
+    here, after, smaller = text[:-1], text[1:], is_s[:-1]
+    larger, less = _Buckets(text, np.flatnonzero(~is_s), size), _Buckets(text, np.flatnonzero(is_s), size)
+    larger.put(np.array([len(text) - 1]))  # by the end, which is smaller than all
+    falls = ~smaller & (after < here)
+    bounds = _cuts(after[falls], here[falls], size)
+    at = np.searchsorted(text[seeds], bounds)
+    twin, other = same & ~smaller_before, ~same & ~smaller_before & ~first
+    for low, high, a, b in zip(bounds, bounds[1:], at.tolist(), at[1:].tolist()):
+        found = scan(larger, twin, low, high)
+        if b > a:
+            found = np.concatenate([found, seeds[a:b]])
+            found = found[np.argsort(text[found], kind="stable")]
+        larger.put(found[other[found]] - 1)
+    # The same from the other end, with characters counted downwards.
+    rises = smaller & (here < after)
+    bounds = [size - x for x in _cuts(size - 1 - after[rises], size - 1 - here[rises], size)]
+    twin, other = same & smaller_before, ~same & smaller_before
+    for high, low in zip(bounds, bounds[1:]):
+        found = np.concatenate([scan(less, twin, low, high), larger.whole(low, high)[::-1]])
+        if high - low > 1:
+            found = found[np.argsort(-text[found], kind="stable")]
+        less.put(found[other[found]] - 1)
+    # A bucket of S-types was filled from its largest on.
+    turned = less.start[less.char] + less.start[less.char + 1] - 1 - np.arange(len(less.char))
+    whole = np.concatenate([larger.held, less.held[turned]])
+    return whole[np.argsort(text[whole], kind="stable")]
 
 
 def _same_substrings(text: np.ndarray, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Whether pairs of leftmost-smaller substrings are equal, separators never."""
-    equal = (n_a == n_b) & (text[a] > 0)
+    """Whether pairs of leftmost-smaller substrings are equal."""
+    equal = n_a == n_b
     todo, k = np.flatnonzero(equal), 0
     while len(todo):
-        x, y = text[a[todo] + k], text[b[todo] + k]
-        same = (x == y) & (x > 0)
+        same = text[a[todo] + k] == text[b[todo] + k]
         equal[todo[~same]] = False
         todo = todo[same & (k + 1 < n_a[todo])]
         k += 1
     return equal
 
 
-def _ranked(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names, by doubling; only undecided ones are sorted again."""
-    n, rank = len(names), names.astype(np.int64)
-    counts = np.bincount(rank, minlength=n)
-    rank = (np.cumsum(counts) - counts)[rank]  # a rank is the first place of its group
-    step = 1
-    while True:
-        order = np.bincount(rank, minlength=n)
-        todo = np.flatnonzero(order[rank] > 1)
-        if not len(todo):
-            made = np.empty(n, dtype=np.int64)
-            made[rank] = np.arange(n)
-            return made
-        after = np.where(todo + step < n, rank[np.minimum(todo + step, n - 1)] + 1, 0)
-        key = rank[todo] * (n + 1) + after
-        by = np.argsort(key, kind="stable")
-        key, group = key[by], rank[todo][by]
-        place = np.arange(len(by))
-        head = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], place, 0))
-        new = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], place, 0))
-        rank[todo[by]] = group + new - head
-        step *= 2
+def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
+    """Suffix array by induced sorting; text holds numbers under size, its end is smaller than all.
 
-
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array by induced sorting. text: 0 for separators, one of them last, else 1 to 256.
-
-    Separators are smaller than all else and ordered by place, so no suffix compares beyond one.
+    Suffixes are classified, leftmost-smaller substrings sorted by an induction and named; the
+    string of names is sorted in the same way, unless all its names differ; its order induces
+    that of all suffixes.
     """
-    n, size = len(text), int(text.max()) + 1
+    n = len(text)
     # A suffix is S-type if it is smaller than the next: by the first neighbour that differs.
     change = np.flatnonzero(np.r_[text[1:] != text[:-1], True])
-    up = np.r_[text[change[:-1]] < text[change[:-1] + 1], True]
+    up = np.r_[text[change[:-1]] < text[change[:-1] + 1], False]
     is_s = np.repeat(up, np.diff(np.r_[-1, change]))
-    is_s |= text == 0
-    lms = np.flatnonzero(is_s & np.r_[False, ~is_s[:-1]] | (text == 0))
+    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     seeds = lms[np.argsort(text[lms], kind="stable")]
-    first = _induce(text, is_s, seeds, size)
-    mark = np.zeros(n, dtype=bool)
-    mark[lms] = True
-    by_substring = first[mark[first]]
-    length = np.empty(n, dtype=np.int32)
-    length[lms] = np.diff(np.r_[lms, n]) + 1
-    length[lms[-1]] = 1
-    a, b = by_substring[:-1], by_substring[1:]
-    name = np.cumsum(np.r_[0, ~_same_substrings(text, a, b, length[a], length[b])])
-    names = np.empty(n, dtype=np.int64)
-    names[by_substring] = name
-    return _induce(text, is_s, lms[_ranked(names[lms])], size)
+    if len(lms) > 1:
+        mark = np.zeros(n, dtype=bool)
+        mark[lms] = True
+        first = _induce(text, is_s, seeds, size)
+        by_substring = first[mark[first]]
+        length = np.zeros(n, dtype=np.int64)
+        length[lms] = np.diff(np.r_[lms, n]) + 1
+        length[lms[-1]] = n + 2  # it ends with the text, as no other does
+        a, b = by_substring[:-1], by_substring[1:]
+        name = np.cumsum(np.r_[0, ~_same_substrings(text, a, b, length[a], length[b])])
+        names = np.empty(n, dtype=np.int64)
+        names[by_substring] = name
+        count = int(name[-1]) + 1
+        seeds = by_substring if count == len(lms) else lms[suffix_array(names[lms], count)]
+    return _induce(text, is_s, seeds, size)
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, most: int = LENGTH) -> np.ndarray:
@@ -258,7 +267,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, mos
         todo = np.flatnonzero((other >= 0) & (level < most))
         while len(todo):
             x, y = text[at[todo] + level[todo]], text[other[todo] + level[todo]]
-            todo = todo[(x == y) & (x > 0)]
+            todo = todo[x == y]
             level[todo] += 1
             todo = todo[level[todo] < most]
         made[at] = level
@@ -269,9 +278,10 @@ def repeated_starts(pieces: list[bytes], most: int = LENGTH) -> list[np.ndarray]
     """For each piece, whether the string of `most` bytes at each start occurs in them again."""
     sizes = np.array([len(p) + 1 for p in pieces], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
-    text = np.frombuffer(b"\0".join(pieces) + b"\0", dtype=np.uint8).astype(np.uint16) + 1
-    text[begins + sizes - 1] = 0
-    order = suffix_array(text)
+    # Each separator is a character of its own, so no suffix compares beyond one.
+    text = np.frombuffer(b"\0".join(pieces) + b"\0", dtype=np.uint8).astype(np.int32) + len(pieces)
+    text[begins + sizes - 1] = np.arange(len(pieces))
+    order = suffix_array(text, len(pieces) + 256)
     common = common_prefixes(text, order, begins, most)
     again = common >= most
     again[order[:-1]] |= again[order[1:]]
@@ -373,25 +383,6 @@ def _digest_rows(batches):
         yield pd.DataFrame(made, columns=["c1", "c2", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-class _Folder:
-    """Tables written to the shared checkpoint folder, so that no step is computed again."""
-
-    def __init__(self, spark):
-        ensure_checkpoints(spark)
-        self.spark, self.path = spark, f"{spark.sparkContext.getCheckpointDir()}/suffix-{uuid4().hex}"
-
-    def keep(self, name: str, frame: DataFrame) -> DataFrame:
-        frame.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files behind it
-        return self.spark.read.parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def repeats(docs: DataFrame) -> DataFrame:
     """(c1, c2, n_removed, n_spans, kept_sha256, spans) of texts with repeated strings.
 
@@ -399,19 +390,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     they go wholly, and count here once.
     """
     spark = docs.sparkSession
-    folder = _Folder(spark)
-    small_arrow_batches(spark, 512)
+    folder = Folder(spark, "suffix")
+    small_arrow_batches(spark)
     read = docs.select("doc_id", _text().alias("text")).where(F.octet_length("text") >= LENGTH)
     read = read.select("doc_id", "text", F.xxhash64("text").alias("c1"), F.crc32("text").alias("c2"))
     keys = folder.keep("keys", read.select("text", "c1", "c2").mapInPandas(_key_rows, KEY_ROWS))
     place = F.xxhash64("c1", "c2", "first")
-    common = keys.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key")
+    # Written out, so that the join below can deal a key of very many places to several tasks.
+    common = folder.keep("common", keys.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key"))
     listed = keys.join(common, "key").groupBy("c1", "c2").agg(F.collect_set(F.struct("key", "first", "last")).alias("listed"))
     copies = read.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     listed = folder.keep("listed", listed.join(copies, ["c1", "c2"]))
-    folder.drop("keys")
+    folder.drop("keys", "common")
     same = lambda other: F.col("t.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("t.c1") == F.col(f"{other}.c1")) & (F.col("t.c2") == F.col(f"{other}.c2"))
-    texts = read.alias("t").join(listed.alias("l").hint("shuffle_hash"), same("l"))
+    texts = read.alias("t").join(listed.alias("l"), same("l"))
     texts = texts.select("t.text", "t.c1", "t.c2", F.col("l.listed.key").alias("keys"), F.col("l.listed.first").alias("firsts"), F.col("l.listed.last").alias("lasts"))
     found = folder.keep("segments", texts.mapInPandas(_segment_rows, SEGMENT_ROWS))
     distinct = found.groupBy("key", "sid").agg(F.max("piece").alias("piece"), F.count("*").alias("n"))
@@ -426,9 +418,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     back = back.join(listed.where("copies = 1").select("c1", "c2", "doc_id"), ["c1", "c2"])
     back = folder.keep("back", back)
     folder.drop("segments", "runs", "listed")
-    texts = read.alias("t").join(back.alias("l").hint("shuffle_hash"), same("l")).select("t.text", "t.c1", "t.c2", F.col("l.runs.a").alias("low"), F.col("l.runs.b").alias("high"))
+    texts = read.alias("t").join(back.alias("l"), same("l")).select("t.text", "t.c1", "t.c2", F.col("l.runs.a").alias("low"), F.col("l.runs.b").alias("high"))
     made = texts.mapInPandas(_digest_rows, "c1 long, c2 long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>")
-    return folder.keep("digests", made)
+    made = folder.keep("digests", made)
+    folder.drop("back")
+    return made
 
 
 def report(docs: DataFrame) -> DataFrame:
