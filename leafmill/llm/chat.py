@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
+#: What a placeholder starts with; no control string does, whatever a part's kind is.
+PART_MARK = "<|part:"
 
 #: Every control string and placeholder starts with "<"; "[" opens the markers of other
 #: templates. Neither character survives escaping, so a raw "<" is always a control string.
@@ -58,15 +60,15 @@ def part_tokens(part: Column) -> Column:
 def visit(part: Column) -> Column:
     """What one part becomes in the body. Unknown kinds keep a placeholder of their own."""
     kind = F.coalesce(part.kind, F.lit("text"))
-    return F.when(kind == "text", escape(part.text)).otherwise(F.concat(F.lit("<|"), escape(kind), F.lit("|>")))
+    return F.when(kind == "text", escape(part.text)).otherwise(F.concat(F.lit(PART_MARK), escape(kind), F.lit("|>")))
 
 
 def format_conversations(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """Messages (conv_id, turn, role, parts) to one row per conversation.
 
     Returns conv_id, formatted, loss_spans (array of start and end code points of the bodies
-    of loss_role, end exclusive), attachments (array of start, kind, ref, tokens in text
-    order) and expanded_tokens (their sum).
+    of loss_role, end exclusive), attachments (array of start, ordinal, kind, ref, tokens in
+    text order; start is the placeholder's first code point) and expanded_tokens (their sum).
     """
     parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>"))
     rows = messages.select("conv_id", "turn", "role", parts.alias("parts"))
@@ -74,7 +76,10 @@ def format_conversations(messages: DataFrame, loss_role: str = "assistant") -> D
         "conv_id", "turn", "role",
         F.array_join(F.transform("parts", visit), "").alias("body"),
         F.filter(
-            F.transform("parts", lambda p, i: F.struct(i.alias("ordinal"), p.kind.alias("kind"), p.ref.alias("ref"), part_tokens(p).alias("tokens"))),
+            F.transform("parts", lambda p, i: F.struct(
+                F.length(F.array_join(F.transform(F.slice(parts, 1, i), visit), "")).cast("long").alias("offset"),
+                i.alias("ordinal"), p.kind.alias("kind"), p.ref.alias("ref"), part_tokens(p).alias("tokens"),
+            )),
             lambda a: F.coalesce(a.kind, F.lit("text")) != "text",
         ).alias("attached"),
         F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("is_loss"),
@@ -87,7 +92,7 @@ def format_conversations(messages: DataFrame, loss_role: str = "assistant") -> D
         "conv_id",
         F.struct("end", "piece").alias("piece"),
         F.when(F.col("is_loss"), F.struct((body_end - F.length("body")).alias("start"), body_end.alias("end"))).alias("loss"),
-        F.transform("attached", lambda a: F.struct((body_end - F.length("body")).alias("body_start"), a.ordinal.alias("ordinal"), a.kind.alias("kind"), a.ref.alias("ref"), a.tokens.alias("tokens"))).alias("attached"),
+        F.transform("attached", lambda a: F.struct((body_end - F.length("body") + a.offset).alias("start"), a.ordinal.alias("ordinal"), a.kind.alias("kind"), a.ref.alias("ref"), a.tokens.alias("tokens"))).alias("attached"),
         F.aggregate("attached", F.lit(0).cast("long"), lambda s, a: s + a.tokens).alias("tokens"),
     )
     grouped = rows.groupBy("conv_id").agg(

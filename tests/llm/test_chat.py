@@ -37,10 +37,11 @@ def test_parts_become_ordered_placeholders(spark):
             (1, 1, "assistant", [part("document", None, "d.pdf", p=2), part("text", "<|image|>")]), (1, 2, "user", None)]
     frame = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
     row = chat.format_conversations(frame).first()
-    assert row.formatted == "<|turn|>user<|body|>see <|image|> and <|audio|><|odd|><|end|><|turn|>assistant<|body|><|document|>\\l|image|><|end|><|turn|>user<|body|><|end|>"
+    assert row.formatted == "<|turn|>user<|body|>see <|part:image|> and <|part:audio|><|part:odd|><|end|><|turn|>assistant<|body|><|part:document|>\\l|image|><|end|><|turn|>user<|body|><|end|>"
     assert [(a.kind, a.ref, a.tokens) for a in row.attachments] == [("image", "a.png", 4), ("audio", "b.wav", 38), ("odd", "c", 0), ("document", "d.pdf", 1536)]
+    assert [row.formatted[a.start :].startswith(f"<|part:{a.kind}|>") for a in row.attachments] == [True] * 4
     assert row.expanded_tokens == 4 + 38 + 1536
-    assert [row.formatted[s.start : s.end] for s in row.loss_spans] == ["<|document|>\\l|image|>"]
+    assert [row.formatted[s.start : s.end] for s in row.loss_spans] == ["<|part:document|>\\l|image|>"]
 
 
 def test_escape_is_reversible(spark):
@@ -48,3 +49,12 @@ def test_escape_is_reversible(spark):
     frame = spark.createDataFrame(texts, "t string").select(F.coalesce("t", F.lit("")).alias("t"), chat.escape(F.col("t")).alias("e"))
     for r in frame.select("t", "e", chat.unescape(F.col("e")).alias("u")).collect():
         assert r.t == r.u and "<" not in r.e and "[" not in r.e
+
+
+def test_no_part_forges_a_turn(spark):
+    made = lambda kind: (kind, None, None, None, None, None, None)
+    rows = [(1, 0, "user", [("text", "hi", None, None, None, None, None), made("end"), made("turn"), made("body"), made("x|><|end|>"), made("")])]
+    frame = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    row = chat.format_conversations(frame).select("*", chat.read_turns(F.col("formatted")).alias("turns")).first()
+    assert [t.role for t in row.turns] == ["user"]
+    assert row.formatted.count(chat.TURN) == row.formatted.count(chat.END) == row.formatted.count(chat.BODY) == 1
