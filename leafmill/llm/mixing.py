@@ -22,17 +22,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import BLANK_WORD, cut
+from leafmill.llm.common import BLANK_WORD, cut, free_names, version_of
 
 BLOCK_WORDS, MOST_EPOCHS, SEED = 256, 3, 17
-#: Words in an output shard, and most shards.
-SHARD_WORDS, MOST_SHARDS = 250_000, 1024
+#: Words in an output shard, at least; and cells of the table of shards by sources, which the driver
+#: holds. A mix with more has larger shards; what it takes of a document is the same.
+SHARD_WORDS, TABLE_CELLS = 250_000, 8_000_000
 #: Blocks that share a bucket of a permutation, about, and most buckets of one permutation.
 BUCKET_BLOCKS, MOST_BUCKET_BITS = 512, 16
 #: Sources are collected to the driver; a table with more distinct ones is refused.
 MOST_SOURCES = 100_000
-#: numpy draws hypergeometric variates below this population; above, the normal limit is used.
-EXACT_POPULATION = 900_000_000
+#: numpy draws hypergeometric variates below this population; above, the sampler here does.
+NUMPY_POPULATION = 900_000_000
 
 
 def size(text: Column) -> Column:
@@ -58,12 +59,56 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST_EPOCHS) -
     return made
 
 
+def _stirling_rest(n: float) -> float:
+    """log n! less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - ((n + 0.5) * math.log(n) - n + 0.5 * math.log(2 * math.pi)) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without loss where they are close."""
+    if abs(x - mean) < 0.1 * (x + mean):
+        v = (x - mean) / (x + mean)
+        total, term, j = (x - mean) * v, 2 * x * v * v * v, 3
+        while abs(term / j) > 1e-17 * abs(total):
+            total, term, j = total + term / j, term * v * v, j + 2
+        return total
+    return (x * math.log(x / mean) if x else 0.0) + mean - x
+
+
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """Log of the binomial probability by the saddle point, exact to a double's last digits."""
+    if x < 0 or x > n:
+        return -math.inf
+    if x == 0 or x == n:
+        return n * (math.log1p(-p) if x == 0 else math.log(p)) if n else 0.0
+    rest = _stirling_rest(n) - _stirling_rest(x) - _stirling_rest(n - x) - _deviance(x, n * p) - _deviance(n - x, n * (1 - p))
+    return rest - 0.5 * (math.log(2 * math.pi) + math.log(x) + math.log1p(-x / n))
+
+
+def _rejected(good: int, bad: int, drawn: int, rng: np.random.Generator) -> int:
+    """An exact hypergeometric variate by ratio of uniforms; 0 < drawn < good + bad, both above 0."""
+    n = good + bad
+    p, share = drawn / n, good / n
+    log_p = lambda x: _log_binomial(x, good, p) + _log_binomial(drawn - x, bad, p)
+    mode = min(max((drawn + 1) * (good + 1) // (n + 2), drawn - bad, 0), good, drawn)
+    top, mean = log_p(mode), drawn * share + 0.5
+    # Stadlober's constants for a hat over any unimodal, log-concave table.
+    width = 1.7155277699214135 * math.sqrt((n - drawn) / (n - 1) * drawn * share * (1 - share) + 0.5) + 0.8989161620588988
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        x = math.floor(mean + width * (v - 0.5) / u)
+        if max(drawn - bad, 0) <= x <= min(good, drawn) and 2 * math.log(u) <= log_p(x) - top:
+            return x
+
+
 def _hypergeometric(good: int, bad: int, drawn: int, rng: np.random.Generator) -> int:
-    if good + bad < EXACT_POPULATION:
+    if good + bad < NUMPY_POPULATION:
         return int(rng.hypergeometric(good, bad, drawn))
-    n, p = good + bad, good / (good + bad)
-    spread = math.sqrt(drawn * p * (1 - p) * (n - drawn) / max(n - 1, 1))
-    return min(max(round(drawn * p + spread * rng.standard_normal()), drawn - bad, 0), good, drawn)
+    if not good or not drawn or not bad or drawn == good + bad:
+        return min(good, drawn)
+    return _rejected(good, bad, drawn, rng)
 
 
 def split_tree(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
@@ -94,7 +139,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, weigh=lambda i: i % 3 + 1, shards: int | None = None):
         spark = docs.sparkSession
-        read = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), size(F.col("text")).alias("size"))
+        read = docs.select("doc_id", "source", version_of(F.col("text")).alias("version"), size(F.col("text")).alias("size"))
         rows = cut(read.groupBy("doc_id", "source", "version", "size").agg(F.count("*").cast("int").alias("n_rows")))
         blocks_of = F.ceil(F.col("size") / block_words)
         stats = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("size"), F.sum(blocks_of * F.col("n_rows")).alias("blocks")).limit(MOST_SOURCES + 1).collect()
@@ -136,8 +181,8 @@ class Mix:
         ranked = cut(ranked.where(taken).select("doc_id", "version", "copy", "block", *where, "words", "rank"))
         quota = {(r["source_id"], r["epoch"]): r["n"] for r in ranked.groupBy("source_id", "epoch").agg(F.count("*").alias("n")).collect()}
         quotas = [sum(quota.get((i, e), 0) for e in range(MOST_EPOCHS + 1)) for i in range(len(stats))]
-        room = max(1, 4_000_000 // max(len(stats), 1))
-        self.shards = shards or max(1, min(MOST_SHARDS, room, math.ceil(total / SHARD_WORDS)))
+        room = max(1, TABLE_CELLS // max(len(stats), 1))
+        self.shards = shards or max(1, min(room, math.ceil(total / SHARD_WORDS)))
         self.quotas = split_tree(quotas, self.shards, seed) if quotas else np.zeros((self.shards, 0), dtype=np.int64)
         starts = np.cumsum(self.quotas, axis=0)
         owned = [(i, e, sum(quota.get((i, x), 0) for x in range(e)), [int(s) for s in starts[:, i]]) for i, e in quota]
@@ -162,20 +207,23 @@ class Mix:
     def materialize(self, docs: DataFrame) -> DataFrame:
         """The mix itself: docs' columns with text cut to a block, then epoch, block, shard, place.
 
-        Order by (shard, place) to read a shard in its shuffled order.
+        Order by (shard, place) to read a shard in its shuffled order. Where docs has a column
+        of such a name, the new one has _ behind it.
         """
+        id_, version, drawn, n, words, one, *added = free_names(docs.columns, "doc", "version", "drawn", "n", "words", "one", "epoch", "block", "shard", "place")
+        # A document has at most MOST_EPOCHS draws of each of its own blocks.
         plan = self.draws.groupBy("doc_id", "version", "copy").agg(F.collect_list(F.struct("epoch", "block", "shard", "place")).alias("drawn"))
-        plan = plan.groupBy(F.col("doc_id").alias("__doc"), F.col("version").alias("__version")).agg(F.flatten(F.collect_list("drawn")).alias("__drawn"))
-        version = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-        # Rows that repeat a document share its plan: one of them stands for all.
-        key = Window.partitionBy("doc_id", "__v").orderBy(F.lit(0))
-        rows = docs.withColumn("__v", version)
+        plan = plan.groupBy(F.col("doc_id").alias(id_), F.col("version").alias(version)).agg(F.flatten(F.collect_list("drawn")).alias(drawn))
+        mine = f"{version}_of_text"
+        rows = docs.withColumn(mine, version_of(F.col("text")))
         if not self.documents.where(F.col("copy") > 1).isEmpty():
-            rows = rows.withColumn("__n", F.row_number().over(key)).where("__n = 1").drop("__n")
-        rows = rows.join(plan.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__v") == F.col("__version")))
-        rows = rows.withColumn("__words", F.regexp_extract_all("text", F.lit(BLANK_WORD + r"[\x20\x09-\x0D]*"), F.lit(0)))
-        rows = rows.withColumn("__x", F.explode("__drawn"))
-        start = (F.col("__x.block") * self.block_words + 1).cast("int")
-        text = F.array_join(F.slice("__words", start, self.block_words), "")
-        kept = [text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c not in ("epoch", "block", "shard", "place")]
-        return rows.select(*kept, "__x.epoch", "__x.block", "__x.shard", "__x.place")
+            # Rows that repeat a document share its plan: one of them stands for all.
+            key = Window.partitionBy("doc_id", mine).orderBy(F.lit(0))
+            rows = rows.withColumn(n, F.row_number().over(key)).where(F.col(n) == 1).drop(n)
+        rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mine) == F.col(version)))
+        rows = rows.withColumn(words, F.regexp_extract_all("text", F.lit(BLANK_WORD + r"[\x20\x09-\x0D]*"), F.lit(0)))
+        rows = rows.withColumn(one, F.explode(drawn))
+        start = (F.col(one)["block"] * self.block_words + 1).cast("int")
+        text = F.array_join(F.slice(words, start, self.block_words), "")
+        kept = [text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+        return rows.select(*kept, *[F.col(one)[c].alias(new) for c, new in zip(("epoch", "block", "shard", "place"), added)])
