@@ -6,12 +6,12 @@ trigrams) by one tanh layer. Gated attention, tanh(V h) * sigmoid(U h), weighs t
 the weighted mean is scored by a logistic unit. Only labels of documents train the weights:
 no passage has a label. Labels, language, source and id are no inputs.
 
-Training takes at most TRAIN_DOCS labelled documents (those with the least hash of their id)
-and, of a longer one, TRAIN_PASSAGES passages spread over all of it; scoring reads every
-passage of every document.
+Training takes a bounded sample of the labelled rows: in the order of a hash of id and text, at
+most TRAIN_DOCS of them and as many as have TRAIN_BYTES in all; of these it reads every
+passage. A row that does not fit is passed over. Scoring reads every passage of every document.
 
 Defined cases: a null or empty text is one empty passage; a document's label is the mean of
-its labels, null labels left out; without a trainable label, or with one class only, the
+its labels, null labels left out and repeated ones counted; without a trainable label, or with one class only, the
 score is the mean label (one half without any); rows that share an id are scored each by its
 own text; a null id is never held out and never trains; extra columns are ignored.
 """
@@ -25,10 +25,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import small_arrow_batches
+from leafmill.llm.common import free_names, small_arrow_batches, version_of
 
 PASSAGE, TRIGRAMS, HIDDEN, ATTENTION = 768, 1024, 24, 12
-TRAIN_DOCS, TRAIN_PASSAGES = 6000, 16
+TRAIN_DOCS, TRAIN_BYTES = 6000, 32 << 20
 STEPS, BATCH, RATE, DECAY, SEED = 1200, 64, 3e-3, 1e-5, 11
 THRESHOLD, FOLDS, HELD_OUT = 0.7, 4, 2
 #: Bytes of text whose features are in memory at once.
@@ -157,45 +157,44 @@ def train(bags: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed:
     return Model(**p)
 
 
-def _spread(batches):
-    """Of each training text, at most TRAIN_PASSAGES passages spread over all of it."""
-    for pdf in batches:
-        made = []
-        for text in pdf["text"]:
-            data = _bytes(text)
-            n = -(-len(data) // PASSAGE)
-            if n > TRAIN_PASSAGES:
-                at = np.linspace(0, n - 1, TRAIN_PASSAGES).round().astype(int)
-                data = np.concatenate([data[i * PASSAGE : (i + 1) * PASSAGE] for i in at])
-            made.append(data.tobytes())
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "data": made})
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> list[tuple[float, str]]:
+    """(label, text) of the sample that is learnt from, in a fixed order."""
+    known = labels.select("doc_id", F.col(label).cast("double").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.avg("label").alias("label"))
+    # Twice the sample's ids are enough to fill it where some have no document; at most so many rows of two numbers.
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most)
+    rows = docs.select("doc_id", version_of(F.col("text")).alias("version"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    rows = rows.join(F.broadcast(known), "doc_id").distinct()
+    chosen, total = [], 0
+    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "version").limit(most).collect():
+        if total + r["size"] <= most_bytes:
+            total += r["size"]
+            chosen.append((r["doc_id"], r["version"], r["label"]))
+    sample = docs.sparkSession.createDataFrame(chosen, "id long, version long, label double")
+    texts = docs.join(F.broadcast(sample), (docs["doc_id"] == sample["id"]) & (version_of(docs["text"]) == sample["version"]))
+    texts = texts.select(sample["id"], sample["version"], sample["label"], docs["text"]).distinct().collect()
+    return [(r["label"], r["text"] or "") for r in sorted(texts, key=lambda r: (r["id"], r["version"]))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_DOCS) -> Model:
     """Train on a bounded sample of the labelled documents that are not held out."""
-    known = labels.select("doc_id", F.col(label).cast("double").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.avg("label").alias("label"))
-    # At most `most` rows of two numbers each, so their size is known.
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    small_arrow_batches(docs.sparkSession, 256)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = texts.mapInPandas(_spread, "doc_id long, label double, data binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["data"])))
-    bags = [encode(np.frombuffer(bytes(r["data"]), dtype=np.uint8)).astype(np.float16) for r in rows]
-    return train(bags, np.array([r["label"] for r in rows]))
+    rows = training_rows(docs, labels, label, most)
+    bags = [encode(_bytes(text)).astype(np.float16) for _, text in rows]
+    return train(bags, np.array([label for label, _ in rows]))
 
 
 def scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """keep + score of every whole text."""
+    """keep + score of every whole text; its name has _ behind it where keep has a score."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    small_arrow_batches(spark, 256)
+    small_arrow_batches(spark)
+    (score_name,) = free_names(keep, "score")
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([shared.value.score(_bytes(t)) for t in texts], dtype="float64")
 
-    return docs.select(*keep, score(F.col("text")).alias("score"))
+    return docs.select(*keep, score(F.col("text")).alias(score_name))
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -206,4 +205,5 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score under the threshold."""
-    return scores(docs, fit(docs, labels), docs.columns).where(F.col("score") >= threshold).drop("score")
+    scored = scores(docs, fit(docs, labels), docs.columns)
+    return scored.where(F.col(scored.columns[-1]) >= threshold).select(*docs.columns)

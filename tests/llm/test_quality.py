@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -59,3 +60,55 @@ def test_awkward_rows(spark, corpus):
     none = quality.report(docs, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
     assert quality.accepted(docs, labels).columns == docs.columns
+
+
+def test_clashing_columns_and_repeated_labels(spark, corpus):
+    docs, labels = corpus
+    clash = docs.selectExpr("*", "-1.0 AS score", "doc_id AS version", "1 AS label", "2 AS id")
+    made = quality.accepted(clash, labels)
+    assert made.columns == clash.columns and {r.score for r in made.select("score").collect()} == {-1}
+    assert 0 < made.count() < 400
+    many = labels.unionByName(labels).unionByName(labels.selectExpr("doc_id", "CAST(NULL AS int) AS quality", "toxic")).unionByName(labels.limit(1).selectExpr("CAST(NULL AS long) AS doc_id", "quality", "toxic"))
+    assert quality.training_rows(docs, many) == quality.training_rows(docs, labels)
+
+
+def test_the_sample_is_bounded_by_rows_and_bytes(spark, corpus):
+    docs, labels = corpus
+    repeated = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))))
+    assert len(quality.training_rows(repeated, labels, most=30)) == 30
+    rows = quality.training_rows(docs, labels, most_bytes=5000)
+    assert 0 < sum(len(t.encode()) for _, t in rows) <= 5000
+    assert len(quality.training_rows(docs, labels)) == labels.where(~quality.held_out(F.col("doc_id"))).count()
+
+
+def brute_score(model, text):
+    """The score of a text by plain loops over its bytes, passages and weights."""
+    data, m = text.encode(), 0xFFFFFFFF
+    hidden, power = [], []
+    for at in range(0, max(len(data), 1), quality.PASSAGE):
+        p = data[at : at + quality.PASSAGE]
+        counts, kinds = [0] * quality.TRIGRAMS, [0] * 7
+        for i, c in enumerate(p):
+            b, d = (p[i + 1] if i + 1 < len(p) else 0), (p[i + 2] if i + 2 < len(p) else 0)
+            x = (c * 0x9E3779B1 + b * 0x85EBCA6B + d * 0xC2B2AE35) & m
+            x ^= x >> 15
+            counts[(x * 0x27D4EB2F & m) >> 22] += 1
+            kinds[int(quality._KIND[c])] += 1
+        n = max(len(p), 1)
+        share = [c / n for c in counts]
+        stats = [k / n for k in kinds] + [20 * sum(s * s for s in share), 5 * max(share), sum(c > 0 for c in counts) / min(n, quality.TRIGRAMS), math.log1p(n) / 7, 1]
+        x = [math.sqrt(s) for s in share] + stats if p else [0.0] * quality.FEATURES
+        h = [math.tanh(sum(a * float(w) for a, w in zip(x, column))) for column in model.w.T]
+        gate = [math.tanh(sum(a * float(w) for a, w in zip(h, v))) / (1 + math.exp(-sum(a * float(w) for a, w in zip(h, u)))) for v, u in zip(model.v.T, model.u.T)]
+        hidden.append(h)
+        power.append(math.exp(sum(g * float(a) for g, a in zip(gate, model.a))))
+    z = [sum(p * h[k] for p, h in zip(power, hidden)) / sum(power) for k in range(quality.HIDDEN)]
+    return 1 / (1 + math.exp(-sum(a * float(c) for a, c in zip([*z, 1.0], model.c))))
+
+
+def test_scores_match_brute_force(spark, corpus):
+    docs, labels = corpus
+    model = quality.fit(docs, labels)
+    some = documents(spark).where("doc_id <> 5 or doc_id is null").unionByName(docs.limit(10).selectExpr("*", *[f"CAST(NULL AS {t}) AS {c}" for c, t in documents(spark).dtypes[5:]]))
+    for r in quality.scores(some, model, ["doc_id", "text"]).collect():
+        assert r.score == pytest.approx(brute_score(model, r.text or ""), abs=2e-4)
