@@ -35,7 +35,7 @@ def brute(docs, items):
 
 @pytest.mark.parametrize("bound", [200_000, 0])
 def test_matches_brute_force(spark, monkeypatch, bound):
-    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", bound)  # 0: the way without broadcasts
+    monkeypatch.setattr(decontam, "BROADCAST_PRINTS", bound)  # 0: the way without broadcasts
     docs, items = documents(spark, EXTRA), benchmark(spark)
     want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
     assert sorted(map(tuple, decontam.judge(docs, items).collect()), key=str) == want
