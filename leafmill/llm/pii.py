@@ -1,16 +1,22 @@
 """PII surrogates: detected entities get keyed replacements of their own type and format.
 
 Patterns find e-mail addresses, IPv4 addresses, phone numbers, social security numbers,
-payment cards, IBANs and titled personal names. Every distinct entity, in a normal form that
-joins its spellings, gets one surrogate from a keyed hash: digits become digits and letters
-letters, names keep gender, script and capitals, card numbers their checksum, and separators
-stay. Surrogates are checked: where two entities of a kind got the same one, or one equals an
-entity of the corpus, the later entity draws again, so distinct entities stay distinct and
-equal ones stay equal everywhere. DataFrame functions only.
+payment cards, IBANs and personal names, titled or after a common given name. Every distinct
+entity, in a normal form that joins its spellings, gets one surrogate from a keyed hash: digits
+become digits and letters letters, names keep gender, script and capitals, card numbers their
+checksum, and separators stay. An address's domain and a person's given and family name are
+entities of their own, so what two people share stays shared. A name's gender is the one that
+most of its titles say and no part of its identity. Surrogates are checked: where two entities of
+a kind got the same one, or one equals an entity of the corpus, the later entity draws again, so
+distinct entities stay distinct and equal ones equal everywhere. DataFrame functions only.
+
+Texts are searched once; what was found is written beside them, and only texts that hold an
+entity are joined to their replacements.
 
 Defined cases: a null text stays null and has no entity, an empty text stays empty; rows that
 share a doc_id are replaced each in its own text; repeated rows repeat their row; a table
 without rows gives none; extra columns are kept by pseudonymise() and ignored by report().
+Known limits: a name without a title is found only behind a given name of the list below.
 """
 
 from __future__ import annotations
@@ -20,18 +26,33 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut
+from leafmill.llm.common import Folder, free_names
 
 KEY = "surrogates-1"
-#: Draws before an entity's surrogate is lengthened; only a nearly full format needs them.
-MOST_DRAWS = 12
+#: From this draw on a surrogate is longer than its entity, by one more digit each time; a kind
+#: that still clashes after the last draw has no free value left, which is an error.
+LONGER, LAST_DRAW = 16, 64
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)"
 #: What may stand between a phone's digits; no number goes on into an address behind it.
 _GAP = rf"[^\p{{L}}\p{{N}}\n]{{0,6}}(?!{_IP})"
 _TITLE_M, _TITLE_F = r"Mr|Sir|Herrn?|Monsieur|Señor|Signor|Господин|Г-н", r"Mrs|Ms|Miss|Lady|Frau|Fräulein|Madame|Mademoiselle|Señora|Señorita|Signora|Госпожа|Г-жа"
-_NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
+_CASELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsArabic}\p{IsHebrew}]"
+_NAME = rf"(?:\p{{Lu}}[\p{{L}}'’-]{{1,30}}|{_CASELESS}{{1,20}})"
+#: Given names that tell a person without a title; none is a common word of the four languages.
+_KNOWN_M = (
+    "Adam Alan Alexander Andreas Andrew Anthony Antonio Benjamin Bernd Brian Carlos Charles Christian Christopher Daniel David Dieter Edward Eric Fernando "
+    "François Friedrich George Günter Hans Heinrich Henry Jacques James Jason Javier Jean Jeffrey John Jonathan José Joseph Juan Jürgen Kevin Klaus Luis Manuel "
+    "Matthew Michael Michel Miguel Nicholas Pablo Patrick Paul Peter Philippe Pierre Richard Robert Samuel Stefan Stephen Thomas Timothy Uwe Walter Werner William Wolfgang"
+)
+_KNOWN_F = (
+    "Alice Amanda Amy Ana Andrea Angela Ann Anna Anne Barbara Carmen Carol Catherine Christine Claudia Cristina Cynthia Deborah Dorothy Elena Elizabeth Emily "
+    "Emma Françoise Gabriele Hannah Heather Helen Ingrid Isabel Isabelle Jane Janet Jennifer Jessica Julia Karen Katherine Kathleen Laura Linda Lisa Lucía Margaret "
+    "Maria María Marie Martha Mary Melissa Michelle Monika Nancy Nathalie Nicole Pamela Patricia Petra Rachel Rebecca Renate Ruth Sabine Sandra Sarah Sharon Sophie Susan Susanne Teresa Ursula Yolanda"
+)
+_KNOWN = "|".join([*_KNOWN_M.split(), *_KNOWN_F.split()])
+
 #: Kind and pattern; the first that matches at a place wins.
 PATTERNS = (
     ("email", r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"),
@@ -45,24 +66,32 @@ PATTERNS = (
     ),
     ("ssn", r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"),
     ("card", rf"(?<![\p{{L}}\p{{N}}])\d(?:(?:[ -](?!{_IP}))?\d){{12,18}}(?![\p{{L}}\p{{N}}])"),
-    ("name", rf"(?<!\p{{L}})(?:{_TITLE_M}|{_TITLE_F}|Dr|Prof|Mx)\.? {_NAME}(?: {_NAME})?"),
+    ("name", rf"(?<!\p{{L}})(?:(?:{_TITLE_M}|{_TITLE_F}|Dr|Prof|Mx)\.? {_NAME}(?: {_NAME})?|(?:{_KNOWN}) \p{{Lu}}[\p{{L}}'’-]{{1,30}})"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 
-#: Made-up names: given names by gender and script, and syllables of family names by script.
-GIVEN = {
-    ("m", "Latn"): "Aldo Bram Corin Darius Emil Fabian Gerwin Hanno Ivo Jorin Kaspar Levin Mirko Nilo Oskar Piet",
-    ("f", "Latn"): "Alma Briska Celia Dorte Elin Fenja Greta Hedda Ilva Jonna Kaja Liv Mirja Nele Odile Petra",
-    ("x", "Latn"): "Ariel Blair Corey Devin Ellis Frankie Gray Hollis Indigo Jules Kit Lane Marlo Noel Onyx Perry",
-    ("m", "Cyrl"): "Арсен Богдан Вадим Глеб Демид Егор Захар Игорь Кирилл Лев Марат Назар Олег Павел Роман Степан",
-    ("f", "Cyrl"): "Алла Белла Вера Галина Дина Ева Жанна Зоя Инна Кира Лада Майя Нина Ольга Полина Рада",
-    ("x", "Cyrl"): "Адель Валя Женя Ия Ким Лука Мика Ника Паша Рика Саша Слава Тоша Уля Шура Яша",
+#: Syllables of made-up names by script, and how a given name ends by gender.
+SYLLABLES = {
+    "Latn": "bar len mor tis van kel dor rin sal wen hol mar tor nel bri gan",
+    "Cyrl": "бар лен мор тис ван кел дор рин сал вен хол мар тор нел бри ган",
+    "Grek": "βαρ λεν μορ τισ βαν κελ δορ ριν σαλ ναν χολ μαρ τορ νελ βρι γαν",
+    "Hani": "安 林 文 明 德 永 国 成 志 海 春 东 云 江 山 石",
+    "Kana": "あ い か き さ た な に は ま み や ら り わ こ",
+    "Hang": "가 나 다 라 마 바 사 아 자 차 하 민 준 서 윤 호",
+    "Arab": "با لن مو تس فا كل دو رن سا ون هو مر تو نل بر غا",
+    "Hebr": "בר לן מור תיס ון קל דור רין סל ון חול מר טור נל ברי גן",
 }
-SYLLABLES = {"Latn": "bar len mor tis van kel dor rin sal wen hol mar tor nel bri gan", "Cyrl": "бар лен мор тис ван кел дор рин сал вен хол мар тор нел бри ган"}
+ENDINGS = {
+    ("m", "Latn"): "o us ik an", ("f", "Latn"): "a ia ine elle", ("x", "Latn"): "el en is y",
+    ("m", "Cyrl"): "ан ик ер ел", ("f", "Cyrl"): "а ия ина елла", ("x", "Cyrl"): "и ю е о",
+    ("m", "Grek"): "ος ης ας ων", ("f", "Grek"): "α η ια ινη", ("x", "Grek"): "ι υ ε ω",
+}
+SCRIPTS = (("Cyrl", r"\p{IsCyrillic}"), ("Grek", r"\p{IsGreek}"), ("Kana", r"[\p{IsHiragana}\p{IsKatakana}]"), ("Hani", r"\p{IsHan}"), ("Hang", r"\p{IsHangul}"), ("Arab", r"\p{IsArabic}"), ("Hebr", r"\p{IsHebrew}"))
 ALPHABETS = (("0123456789", r"\p{N}"), ("abcdefghijklmnopqrstuvwxyz", r"\p{Ll}"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"\p{Lu}"))
-CYRILLIC = (("абвгдежзиклмнопрстуфхцчшэюя", r"[\p{IsCyrillic}&&\p{Ll}]"), ("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", r"[\p{IsCyrillic}&&\p{Lu}]"))
+#: Letters beyond Latin that stay in their script.
+OTHERS = (("абвгдежзиклмнопрстуфхцчшэюя", r"[\p{IsCyrillic}&&\p{Ll}]"), ("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", r"[\p{IsCyrillic}&&\p{Lu}]"), ("αβγδεζηθικλμνξοπρστυφχψω", r"[\p{IsGreek}&&\p{Ll}]"), ("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", r"[\p{IsGreek}&&\p{Lu}]"))
 
-_UNIT = "array<struct<lead:string,kind:string,norm:string,raw:string>>"
+_UNIT = "array<struct<lead:string,kind:string,norm:string,raw:string,gender:string>>"
 
 
 def _kind(hit: Column) -> Column:
@@ -78,28 +107,39 @@ def _kind(hit: Column) -> Column:
 
 
 def _script(name: Column) -> Column:
-    return F.when(name.rlike(r"\p{IsCyrillic}"), "Cyrl").otherwise("Latn")
+    return reduce(lambda rest, s: F.when(name.rlike(s[1]), s[0]).otherwise(rest), reversed(SCRIPTS), F.lit("Latn"))
 
 
 def _units(hit: Column) -> Column:
-    """A hit as the pieces to replace, each behind literal text: one, or a name's two."""
+    """A hit as the pieces to replace, each behind literal text: one, or two of an address or a name."""
     kind = _kind(hit)
-    norm = F.when(kind == "email", F.lower(hit)).when(kind == "ip", hit).otherwise(F.upper(F.regexp_replace(hit, r"[^\p{L}\p{N}]", "")))
-    one = F.array(F.struct(F.lit("").alias("lead"), kind.alias("kind"), norm.alias("norm"), hit.alias("raw"))).cast(_UNIT)
-    title = F.regexp_extract(hit, r"^([^ ]+ )", 1)
+    piece = lambda lead, kind, norm, raw, gender=F.lit(None): F.struct(lead.alias("lead"), kind.alias("kind"), norm.alias("norm"), raw.alias("raw"), gender.cast("string").alias("gender"))
+    norm = F.when(kind == "ip", hit).otherwise(F.upper(F.regexp_replace(hit, r"[^\p{L}\p{N}]", "")))
+    one = F.array(piece(F.lit(""), kind, norm, hit)).cast(_UNIT)
+    local, domain = F.substring_index(hit, "@", 1), F.substring_index(hit, "@", -1)
+    address = F.array(piece(F.lit(""), F.lit("local"), F.lower(hit), local), piece(F.lit("@"), F.lit("domain"), F.lower(domain), domain)).cast(_UNIT)
+    known = hit.rlike(rf"^(?:{_KNOWN}) ")
+    title = F.when(known, "").otherwise(F.regexp_extract(hit, r"^([^ ]+ )", 1))
     rest = F.split(F.substring(hit, F.length(title) + 1, F.length(hit)), " ")
-    gender = F.when(title.rlike(rf"^(?:{_TITLE_M})\b"), "m").when(title.rlike(rf"^(?:{_TITLE_F})\b"), "f").otherwise("x")
-    piece = lambda lead, kind, raw: F.struct(lead.alias("lead"), F.concat(kind, F.lit("_"), _script(raw)).alias("kind"), F.lower(raw).alias("norm"), raw.alias("raw"))
-    family = lambda lead, raw: piece(lead, F.lit("family"), raw)
-    both = F.array(piece(title, F.concat(F.lit("given_"), gender), rest[0]), family(F.lit(" "), F.get(rest, 1))).cast(_UNIT)
-    last = F.array(family(title, rest[0])).cast(_UNIT)
-    return F.when(kind != "name", one).when(F.size(rest) > 1, both).otherwise(last)
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, at, unit, lead, kind, norm, raw): every piece to replace, in order."""
-    rows = docs.select("doc_id", "text").where(_has())
-    hits = rows.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("at", "hit"))
+    man, woman = rf"^(?:(?:{_TITLE_M})\b|(?:{'|'.join(_KNOWN_M.split())}) )", rf"^(?:(?:{_TITLE_F})\b|(?:{'|'.join(_KNOWN_F.split())}) )"
+    gender = F.when(hit.rlike(man), "m").when(hit.rlike(woman), "f")
+    name = lambda lead, kind, raw, *g: piece(lead, F.concat(F.lit(f"{kind}_"), _script(raw)), F.lower(raw), raw, *g)
+    both = F.array(name(title, "given", rest[0], gender), name(F.lit(" "), "family", F.get(rest, 1))).cast(_UNIT)
+    last = F.array(name(title, "family", rest[0])).cast(_UNIT)
+    return F.when(kind == "email", address).when(kind != "name", one).when(F.size(rest) > 1, both).otherwise(last)
+
+
+def detected(docs: DataFrame, column: str) -> DataFrame:
+    """docs with a column of hits, in order; the one search of all texts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # Most texts without a digit or @ need the search for names only.
+    some = text.rlike("[0-9@]") | text.rlike(PATTERNS[-1][1])
+    return docs.withColumn(column, F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+
+
+def occurrences(docs: DataFrame, column: str) -> DataFrame:
+    """(doc_id, version, at, unit, lead, kind, norm, raw, gender): every piece to replace, in order."""
+    hits = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(column).alias("at", "hit"))
     units = hits.select("doc_id", "version", "at", F.posexplode(_units(F.col("hit"))).alias("unit", "u"))
     return units.select("doc_id", "version", "at", "unit", "u.*").dropDuplicates(["doc_id", "version", "at", "unit"])
 
@@ -116,7 +156,7 @@ def _alike(text: Column, digest: Column, fixed: int = 0) -> Column:
 
     def one(c: Column, i: Column) -> Column:
         made = c
-        for alphabet, pattern in (*reversed(ALPHABETS), *CYRILLIC):
+        for alphabet, pattern in (*reversed(ALPHABETS), *OTHERS):
             made = F.when(c.rlike(pattern), _pick(digest, i, alphabet)).otherwise(made)
         return F.when(i < fixed, c).otherwise(made) if fixed else made
 
@@ -137,46 +177,54 @@ def _checked(norm: Column, made: Column) -> Column:
     return F.when(right, F.concat(new, ((10 - _luhn_sum(new) % 10) % 10).cast("string"))).otherwise(made)
 
 
-def _surrogate(kind: Column, norm: Column, draw: Column) -> Column:
+def _said(digest: Column, syllables: str, n: Column, first: int = 0) -> Column:
+    """n syllables that the digest picks."""
+    pool = F.array(*[F.lit(x) for x in syllables.split()])
+    pick = lambda i: F.conv(F.substring(F.concat(digest, digest), ((i * 4 + first) % 61 + 1).cast("int"), F.lit(4)), 16, 10).cast("int") % len(syllables.split()) + 1
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(pool, pick(i))), "")
+
+
+def _surrogate(kind: Column, norm: Column, gender: Column, draw: Column) -> Column:
     digest = F.sha2(F.concat_ws("\x1f", F.lit(KEY), kind, norm, draw.cast("string")), 256)
     number = lambda at, width: F.conv(F.substring(digest, at, width), 16, 10).cast("int")
-    local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
-    host = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(KEY), F.lit("domain"), domain), 256), 1, 6)
-    made = F.when(kind == "email", F.concat(_alike(local, digest), F.lit("@m"), host, F.lit(".example.net")))
+    more = lambda n, alphabet: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _pick(digest, i + 7, alphabet)), "")
+    letters = F.when(draw > 0, more(draw, ALPHABETS[1][0])).otherwise("")
+    made = F.when(kind == "local", F.concat(_alike(F.substring_index(norm, "@", 1), digest), letters))
+    made = made.when(kind == "domain", F.concat(F.lit("m"), F.substring(digest, F.lit(1), draw * 4 + 10), F.lit(".example.net")))
     made = made.when(kind == "ip", F.concat_ws(".", (number(1, 4) % 223 + 1).cast("string"), *[(number(1 + 4 * i, 4) % 256).cast("string") for i in (1, 2, 3)]))
-    made = made.when(kind == "iban", _alike(norm, digest, 2))
-    # A phone number keeps its first digit, which may be its country's.
-    made = made.when(kind == "phone", _alike(norm, digest, 1)).when(kind == "card", _checked(norm, _alike(norm, digest)))
-    for (gender, script), names in GIVEN.items():
-        pool = F.array(*[F.lit(n) for n in names.split()])
-        syllable = F.array(*[F.lit(s) for s in SYLLABLES[script].split()])
-        more = F.array_join(F.transform(F.sequence(F.lit(0), draw), lambda i: F.when(i > 0, F.element_at(syllable, F.conv(F.substring(digest, (i * 4 + 5).cast("int"), F.lit(4)), 16, 10).cast("int") % 16 + 1)).otherwise("")), "")
-        made = made.when(kind == f"given_{gender}_{script}", F.concat(F.element_at(pool, number(1, 4) % 16 + 1), more))
-    for script, said in SYLLABLES.items():
-        syllable = F.array(*[F.lit(s) for s in said.split()])
-        parts = F.transform(F.sequence(F.lit(0), draw + 2), lambda i: F.element_at(syllable, F.conv(F.substring(digest, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int") % 16 + 1))
-        made = made.when(kind == f"family_{script}", F.initcap(F.array_join(parts, "")))
-    made = made.otherwise(_alike(norm, digest))
-    # A format with hardly a free value left is lengthened: distinct by its entity's own digest.
-    return F.when(draw < MOST_DRAWS, made).otherwise(F.concat(made, F.substring(digest, 1, 16)))
-
-
-def surrogates(found: DataFrame) -> DataFrame:
+    for script, syllables in SYLLABLES.items():
+        cased = lambda c, script=script: F.initcap(c) if script in ("Latn", "Cyrl", "Grek") else c
+        short = 1 if script in ("Hani", "Kana", "Hang") else 2
+        ending = F.lit("")
+        for (g, s), said in ENDINGS.items():
+            if s == script:
+                ending = F.when(F.coalesce(gender, F.lit("x")) == g, _said(digest, said, F.lit(1), 40)).otherwise(ending)
+        made = made.when(kind == f"given_{script}", cased(F.concat(_said(digest, syllables, draw + short), ending)))
+        made = made.when(kind == f"family_{script}", cased(_said(digest, syllables, draw + short + 1)))
+    # A phone number keeps its first digit, which may be its country's, an account its country.
+    plain = F.when(kind == "iban", _alike(norm, digest, 2)).when(kind == "phone", _alike(norm, digest, 1)).when(kind == "card", _checked(norm, _alike(norm, digest))).otherwise(_alike(norm, digest))
+    return made.otherwise(F.concat(plain, F.when(draw >= LONGER, more(draw - LONGER + 1, ALPHABETS[0][0])).otherwise("")))
+
+
+def surrogates(found: DataFrame, folder: Folder) -> DataFrame:
     """(kind, norm, surrogate): one row per distinct entity, all surrogates of a kind distinct."""
-    todo = found.select("kind", "norm").distinct().withColumn("draw", F.lit(0))
-    table = cut(todo.withColumn("surrogate", _surrogate(F.col("kind"), F.col("norm"), F.col("draw"))))
+    men, women = F.count_if(F.col("gender") == "m"), F.count_if(F.col("gender") == "f")
+    todo = found.groupBy("kind", "norm").agg(F.when(men > women, "m").when(women > men, "f").otherwise("x").alias("gender")).withColumn("draw", F.lit(0))
+    made = _surrogate(F.col("kind"), F.col("norm"), F.col("gender"), F.col("draw"))
+    table = folder.keep("draw0", todo.withColumn("surrogate", made))
     first = Window.partitionBy("kind", F.lower("surrogate")).orderBy("draw", "norm")
-    for _ in range(MOST_DRAWS + 1):
-        real = table.select(F.col("kind").alias("k"), F.lower("norm").alias("n"), F.lit(True).alias("real"))
+    for turn in range(1, LAST_DRAW + 2):
+        real = table.select(F.col("kind").alias("k"), F.lower("norm").alias("n"), F.lit(True).alias("real")).distinct()
         checked = table.withColumn("place", F.row_number().over(first))
         checked = checked.join(real, (F.col("kind") == F.col("k")) & (F.lower("surrogate") == F.col("n")), "left")
         clash = (F.col("place") > 1) | F.col("real").isNotNull()
-        checked = cut(checked.select("kind", "norm", "draw", "surrogate", clash.alias("clash")))
+        checked = folder.keep(f"checked{turn}", checked.select("kind", "norm", "gender", "draw", "surrogate", clash.alias("clash")))
         if checked.where("clash").isEmpty():
-            break
-        draw = F.col("draw") + F.col("clash").cast("int")
-        table = cut(checked.select("kind", "norm", draw.alias("draw"), F.when(F.col("clash"), _surrogate(F.col("kind"), F.col("norm"), draw)).otherwise(F.col("surrogate")).alias("surrogate")))
-    return table.select("kind", "norm", "surrogate")
+            return table.select("kind", "norm", "surrogate")
+        if turn > LAST_DRAW:
+            raise ValueError(f"no free surrogates are left for: {[r[0] for r in checked.where('clash').select('kind').distinct().limit(20).collect()]}")
+        again = checked.withColumn("draw", F.col("draw") + F.col("clash").cast("int"))
+        table = folder.keep(f"draw{turn}", again.select("kind", "norm", "gender", "draw", F.when(F.col("clash"), made).otherwise(F.col("surrogate")).alias("surrogate")))
 
 
 def _formatted(raw: Column, kind: Column, made: Column) -> Column:
@@ -190,41 +238,39 @@ def _formatted(raw: Column, kind: Column, made: Column) -> Column:
         lambda s: F.concat(s.text, F.substring(made, s.next, F.length(made))),
     )
     loud = F.when(raw == F.upper(raw), F.upper(made)).otherwise(made)
-    return F.when(kind.isin("email") | kind.rlike("^(given|family)_"), loud).when(kind == "ip", made).otherwise(slots)
-
-
-def _has() -> Column:
-    """Whether a text holds an entity; most are told from the cheap tests."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return (text.rlike("[0-9@]") & text.rlike(ANY)) | text.rlike(PATTERNS[-1][1])
+    return F.when(kind.isin("local", "domain") | kind.rlike("^(given|family)_"), loud).when(kind == "ip", made).otherwise(slots)
 
 
-def replacements(found: DataFrame) -> DataFrame:
+def replacements(found: DataFrame, folder: Folder) -> DataFrame:
     """(doc_id, version, news): what stands for each hit of a document, in order."""
-    said = found.join(surrogates(found), ["kind", "norm"])
+    said = found.join(surrogates(found, folder), ["kind", "norm"])
     said = said.withColumn("new", F.concat("lead", _formatted(F.col("raw"), F.col("kind"), F.col("surrogate"))))
     hits = said.groupBy("doc_id", "version", "at").agg(F.array_join(F.sort_array(F.collect_list(F.struct("unit", "new")))["new"], "").alias("new"))
     return hits.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("at", "new")))["new"].alias("news"))
 
 
-def _rebuilt(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep + (n_entities, kinds), text replaced: the documents with an entity, then the others."""
-    news = replacements(cut(occurrences(docs))).select(F.col("doc_id").alias("__doc"), F.col("version").alias("__v"), F.col("news").alias("__news"))
-    rows = docs.where(_has()).withColumn("__version", F.xxhash64("text"))
-    rows = rows.join(news.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__version") == F.col("__v")))
-    rows = rows.withColumn("__gap", F.split("text", ANY, -1)).withColumn("__hit", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    text = F.array_join(F.zip_with("__gap", "__news", lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+def _rebuilt(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
+    """keep + hits, text replaced, and the name of the column of hits."""
+    folder = Folder(docs.sparkSession, "pii")
+    hits, id_, version, news = free_names(docs.columns, "hits", "doc", "version", "news")
+    found = folder.keep("detected", detected(docs.select(*keep), hits))
+    some = found.where(F.size(hits) > 0)
+    made = replacements(folder.keep("occurrences", occurrences(some, hits)), folder).toDF(id_, version, news)
+    made = folder.keep("news", made)
+    folder.only("detected", "news")
+    rows = some.join(made, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(version)))
+    text = F.array_join(F.zip_with(F.split("text", ANY, -1), F.col(news), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     kept = [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in keep]
-    rest = docs.where(~_has()).select(*keep, F.lit(0).cast("long").alias("__n"), F.lit("").alias("__kinds"))
-    return rows.select(*kept, F.size("__hit").cast("long").alias("__n"), F.array_join(F.transform("__hit", _kind), ",").alias("__kinds")).unionByName(rest)
+    return rows.select(*kept, hits).unionByName(found.where(F.size(hits) == 0).select(*keep, hits)), hits
 
 
 def pseudonymise(docs: DataFrame) -> DataFrame:
     """docs with every entity replaced; n_chars, where there, follows the new text."""
-    return _rebuilt(docs, docs.columns).drop("__n", "__kinds")
+    made, hits = _rebuilt(docs, docs.columns)
+    return made.select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_entities, kinds (in order of place) and the new text."""
-    made = _rebuilt(docs.select("doc_id", "text"), ["doc_id", "text"])
-    return made.select("doc_id", F.col("__n").alias("n_entities"), F.col("__kinds").alias("kinds"), "text")
+    made, hits = _rebuilt(docs.select("doc_id", "text"), ["doc_id", "text"])
+    return made.select("doc_id", F.size(hits).cast("long").alias("n_entities"), F.array_join(F.transform(hits, _kind), ",").alias("kinds"), "text")

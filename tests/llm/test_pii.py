@@ -1,8 +1,10 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.llm import pii
+from leafmill.llm.common import Folder
 from tests.llm.cases import documents
 
 TEXTS = [
@@ -35,7 +37,7 @@ def test_replacements(spark):
     text = {i: v[0].text for i, v in made.items()}
     mails = re.findall(r"[\w.]+@[\w.]+\w", text[20])
     assert mails[0].upper() == mails[1] and mails[0] != mails[2] and mails[0].split("@")[1] == mails[2].split("@")[1]
-    assert re.fullmatch(r"[a-z]{3}\.\d\d@m[0-9a-f]{6}\.example\.net", mails[0])
+    assert re.fullmatch(r"[a-z]{3}\.\d\d@m[0-9a-f]{10}\.example\.net", mails[0])
     a, b = re.match(r"Call (\+1 \(\d{3}\) \d{3}-\d{4}) or (\+1 \d{3} \d{3} \d{4})\. IP ", text[21]).groups()
     assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) and "0175557713" not in re.sub(r"\D", "", a)
     assert text[21].endswith("Not 1.2.3.4.5 or 999.1.1.1.") and "97.51.17.173" not in text[21]
@@ -43,19 +45,44 @@ def test_replacements(spark):
     assert c.replace(" ", "") == d and luhn(d) and d != "4" + "1" * 15 and e != d
     m = re.match(r"Mrs\. (\w+) (\w+) met Mr (\w+) (\w+); later Mr\. (\w+) left\. Господин (\w+) (\w+) тоже\. Dr\. (\w+)$", text[23]).groups()
     assert m[1] == m[3] == m[4] != m[7] and m[0] != m[2] and re.fullmatch("[А-Яа-я]+", m[5] + m[6])
-    assert any(m[0].startswith(x) for x in pii.GIVEN["f", "Latn"].split()) and any(m[2].startswith(x) for x in pii.GIVEN["m", "Latn"].split())
+    assert m[0].endswith(tuple(pii.ENDINGS["f", "Latn"].split())) and m[2].endswith(tuple(pii.ENDINGS["m", "Latn"].split()))
     first, second = re.match(r"IBAN (DE\d\d (?:\d{4} ){4}\d\d) or (DE\d{20}), not deadbeef0123456789abcdef01234567$", text[24]).groups()
     assert first.replace(" ", "") == second != old[24]
     assert mails[0] in text[25] and len(made[25]) == 2
     assert d in [r.text for r in rows if r.doc_id is None and r.n_entities][0]
 
 
-def test_distinct_even_when_formats_are_crowded(spark, monkeypatch):
-    # 60 of 90 two-digit numbers: draws clash and are drawn again.
-    found = spark.createDataFrame([("ssn", str(n)) for n in range(10, 70)] + [("given_f_Latn", f"n{i}") for i in range(200)], "kind string, norm string")
-    rows = pii.surrogates(found).collect()
-    assert len({(r.kind, r.surrogate.lower()) for r in rows}) == len(rows) == 260
-    assert not {r.surrogate for r in rows} & {r.norm for r in rows}
+def test_distinct_even_when_formats_are_crowded(spark):
+    # 60 of 90 two-digit numbers: draws clash and are drawn again, in the end with a digit more.
+    found = [("ssn", str(n), None) for n in range(10, 70)] + [("given_Latn", f"n{i}", "f") for i in range(200)] + [("local", f"{c}@x.org", None) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    frame = spark.createDataFrame(found, "kind string, norm string, gender string")
+    rows = pii.surrogates(frame, Folder(spark, "test")).collect()
+    assert len({(r.kind, r.surrogate.lower()) for r in rows}) == len(rows) == 296
+    assert not {(r.kind, r.surrogate) for r in rows} & {(r.kind, r.norm) for r in rows}
+    assert all(re.fullmatch(r"\d+", r.surrogate) for r in rows if r.kind == "ssn")
+
+
+def test_a_full_format_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "LAST_DRAW", 2)
+    frame = spark.createDataFrame([("ssn", str(n), None) for n in range(10)], "kind string, norm string, gender string")
+    with pytest.raises(ValueError, match="ssn"):
+        pii.surrogates(frame, Folder(spark, "test"))
+
+
+def test_names_keep_script_gender_and_coreference(spark):
+    texts = [
+        (1, "Dr. Ann Smith and Mrs. Ann Smith, or Ann Smith herself; John Smith too. Annabel Lee Street."), (2, "Prof. 王小明 said so. Prof. 王小明 again."),
+        (3, "Dr. Παπάς came."), (4, "Mr. Kim Novak and Dr. Kim Novak"), (5, "Dr. Иван Петров"), (6, "Smith alone and ann smith"),
+    ]
+    rows = {r.doc_id: r for r in pii.report(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    a = re.match(r"Dr\. (\w+ \w+) and Mrs\. (\w+ \w+), or (\w+ \w+) herself; (\w+) (\w+) too\. Annabel Lee Street\.$", rows[1].text).groups()
+    assert a[0] == a[1] == a[2] != "Ann Smith" and a[0].split()[1] == a[4] and a[3] != "John"
+    assert a[0].split()[0].endswith(tuple(pii.ENDINGS["f", "Latn"].split())) and a[3].endswith(tuple(pii.ENDINGS["m", "Latn"].split()))
+    x, y = re.match(r"Prof\. (\w+) said so\. Prof\. (\w+) again\.$", rows[2].text).groups()
+    assert x == y != "王小明" and all("\u4e00" <= c <= "\u9fff" for c in x)
+    assert re.fullmatch(r"Dr\. [\u0370-\u03ff\u1f00-\u1fff]+ came\.", rows[3].text) and "Παπάς" not in rows[3].text
+    m, d = re.match(r"Mr\. (\w+ \w+) and Dr\. (\w+ \w+)$", rows[4].text).groups()
+    assert m == d and re.fullmatch(r"Dr\. [А-Яа-я]+ [А-Яа-я]+", rows[5].text) and rows[6].n_entities == 0
 
 
 def test_pseudonymise_keeps_columns_and_reruns_agree(spark):
