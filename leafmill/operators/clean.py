@@ -38,33 +38,50 @@ def strip_heads(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return marked.join(heads, ["doc_id", "__shape"], "left_anti").drop("__shape", "is_edge")
 
 
+def _bound(value: Column, made) -> Column:
+    """made(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def join_hyphens(found: Column) -> Column:
     """Lines with words joined that a hyphen broke: struct(lines, joined).
 
     A line that ends in a word and a hyphen takes the next line, or the one behind a single
-    blank, if it starts with a small letter. The joined line is not looked at again.
+    blank, if it starts with a small letter. The joined line is not looked at again. Time is
+    linear in the lines: no step copies what the steps before it made.
     """
-    hyphen = lambda x: T.rstrip(x).rlike(r"(?U)\w-\z")
-    string, none = (lambda c: c.cast("string")), F.lit(None).cast("string")
-
-    def state(out: Column, held: Column, gap: Column, n: Column) -> Column:
-        return F.struct(out.alias("out"), string(held).alias("held"), gap.alias("gap"), n.alias("n"))
-
-    def flushed(s: Column) -> Column:
-        return F.when(s.held.isNull(), s.out).when(s.gap, F.concat(s.out, F.array(s.held, F.lit("")))).otherwise(F.concat(s.out, F.array(s.held)))
-
-    def step(s: Column, x: Column) -> Column:
-        no, yes = F.lit(False), F.lit(True)
-        joined = F.concat(F.regexp_replace(T.rstrip(s.held), "-$", ""), F.regexp_replace(x, rf"(?U)^{T.BLANK}+", ""))
-        fresh = F.when(hyphen(x), state(flushed(s), x, no, s.n)).otherwise(state(F.concat(flushed(s), F.array(x)), none, no, s.n))
-        return (
-            F.when(s.held.isNotNull() & T.is_blank(x) & ~s.gap, state(s.out, s.held, yes, s.n))
-            .when(s.held.isNotNull() & F.regexp_replace(x, rf"(?U)^{T.BLANK}+", "").rlike(r"^\p{Ll}"), state(F.concat(s.out, F.array(joined)), none, no, s.n + 1))
-            .otherwise(fresh)
-        )
-
-    begin = state(F.array().cast("array<string>"), none, F.lit(False), F.lit(0))
-    return F.aggregate(found, begin, step, lambda s: F.struct(flushed(s).alias("lines"), s.n.alias("joined")))
+    item = lambda c, i: F.get(c, i)
+    broken = lambda x: T.rstrip(x).rlike(r"(?U)\w-\z")
+    lstrip = lambda x: F.regexp_replace(x, rf"(?U)^{T.BLANK}+", "")
+
+    def linked(said: Column) -> Column:
+        """Per line with text, "1" if the one before it could take it."""
+
+        def one(s: Column, k: Column) -> Column:
+            before = item(said, k - 1)
+            return F.when((k > 0) & s.x.rlike(r"^\p{IsLowercase}") & (s.i - before.i <= 2) & broken(before.x), "1").otherwise("0")
+
+        return F.array_join(F.transform(said, one), "")
+
+    def whole(lines: Column, said: Column, taken: Column) -> Column:
+        is_taken = lambda k: F.coalesce(item(taken, k) == "1", F.lit(False))
+
+        def one(s: Column, k: Column) -> Column:
+            behind = F.slice(lines, s.i + 2, F.coalesce(item(said, k + 1).i, F.size(lines)) - s.i - 1)
+            joined = F.concat(F.regexp_replace(T.rstrip(s.x), "-$", ""), lstrip(item(said, k + 1).x))
+            return F.when(is_taken(k), behind).when(is_taken(k + 1), F.array(joined)).otherwise(F.concat(F.array(s.x), behind))
+
+        head = F.slice(lines, 1, F.coalesce(item(said, F.lit(0)).i, F.size(lines)))
+        every = F.concat(head, F.flatten(F.transform(said, one)))
+        return F.struct(every.alias("lines"), F.size(F.filter(taken, lambda t: t == "1")).alias("joined"))
+
+    def made(lines: Column) -> Column:
+        said = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~T.is_blank(s.x))
+        # Of lines in a row that could each be taken, every second one is: what is taken takes nothing.
+        taken = lambda w: F.split(F.regexp_replace(linked(w), "11", "10"), "")
+        return _bound(said, lambda w: _bound(taken(w), lambda t: whole(lines, w, t)))
+
+    return _bound(found, made)
 
 
 def collapse_blanks(found: Column) -> Column:

@@ -1,6 +1,7 @@
 """Reading order from word boxes: baseline rows, gutters between columns, lines.
 
-Boxes are (doc_id, page, ord, text, x0, y0, x1, y1), top-left origin; a box without geometry
+Boxes are (doc_id, page, ord, text, x0, y0, x1, y1), and the page's width if known, top-left
+origin; a box without geometry
 keeps the reader's order. Everything is partitioned by (doc_id, page).
 """
 
@@ -23,8 +24,11 @@ def baseline_rows(boxes: DataFrame) -> DataFrame:
 
 
 def _extent(rows: DataFrame) -> DataFrame:
-    whole = rows.groupBy(*PAGE).agg(F.min("x0").alias("left"), F.max("x1").alias("right"), F.max("row").alias("n_rows"), F.count("*").alias("n_boxes"))
-    gutter = F.greatest(F.lit(2), F.floor((F.col("right") - F.col("left")) * GUTTER_SHARE).cast("int"))
+    width = F.max("width") if "width" in rows.columns else F.lit(None).cast("double")
+    whole = rows.groupBy(*PAGE).agg(width.alias("width"), F.min("x0").alias("left"), F.max("x1").alias("right"), F.max("row").alias("n_rows"), F.count("*").alias("n_boxes"))
+    # A share of the page's width; of what the words span where that is not known.
+    across = F.coalesce("width", F.col("right") - F.col("left"))
+    gutter = F.greatest(F.lit(2), F.floor(across * GUTTER_SHARE).cast("int"))
     return whole.withColumn("least", gutter).withColumn("flank", F.greatest(F.lit(2), F.floor(F.col("n_rows") * FLANK_SHARE).cast("int")))
 
 
@@ -57,8 +61,8 @@ def gutters(boxes: DataFrame) -> DataFrame:
     runs = runs.where("free").groupBy(*PAGE, "run", "least", "flank", "end").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     runs = runs.where((F.col("high") < F.col("end")) & (F.col("high") - F.col("low") + 1 >= F.col("least")))
     sided = runs.join(segments, PAGE).groupBy(*PAGE, "low", "high", "flank").agg(
-        F.count_distinct(F.when(F.col("x1") <= F.col("low") + 1, F.col("row"))).alias("on_left"),
-        F.count_distinct(F.when(F.col("x0") >= F.col("high"), F.col("row"))).alias("on_right"),
+        F.count_distinct(F.when(F.col("x1") <= F.col("low"), F.col("row"))).alias("on_left"),
+        F.count_distinct(F.when(F.col("x0") >= F.col("high") + 1, F.col("row"))).alias("on_right"),
     )
     flanked = sided.where((F.col("on_left") >= F.col("flank")) & (F.col("on_right") >= F.col("flank")))
     return flanked.select(*PAGE, "low", "high", ((F.col("low") + F.col("high") + 1) / 2).alias("middle"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.operators.tables import worth_rendering
 
 LARGER, LARGEST, HEADING_CHARS = 1.15, 1.5, 120
 
@@ -33,8 +34,12 @@ def inferred_headings(lines: DataFrame, distinct: bool = False) -> DataFrame:
 
 
 def outline(blocks: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """(doc_id, level, title, page, basis): declared headings, else inferred ones."""
+    """(doc_id, level, title, page, basis): declared headings and bookmarks, else inferred ones."""
     declared = blocks.where("kind = 'heading'").select("doc_id", F.coalesce("level", F.lit(1)).alias("level"), F.col("text").alias("title"), "page", F.lit("native").alias("basis"))
+    if "meta" in blocks.columns:
+        marks = F.from_json(F.first(F.col("meta")["bookmarks"], ignorenulls=True), "array<struct<level:int,title:string,page:int>>")
+        marked = blocks.groupBy("doc_id").agg(marks.alias("marks")).select("doc_id", F.inline("marks"))
+        declared = declared.unionByName(marked.select("doc_id", "level", "title", "page", F.lit("tagged").alias("basis")))
     if lines is None:
         return declared
     guessed = inferred_headings(lines).join(declared.select("doc_id").distinct(), "doc_id", "left_anti")
@@ -49,6 +54,31 @@ def mark_headings(lines: DataFrame, declared: DataFrame) -> DataFrame:
     return marked.withColumn("text", text).drop("__title", "__level")
 
 
+def prepared(blocks: DataFrame) -> DataFrame:
+    """Blocks as Markdown wants them: headings inferred by size where a document declares none,
+    and a ruled table in place of the lines inside its box. Tables that gaps suggest are left out."""
+    headed = blocks.where("kind = 'heading'").select("doc_id").distinct()
+    guessed = inferred_headings(blocks.where("size > 0").select("doc_id", "page", F.col("ord").alias("line"), "text", "size")).join(headed, "doc_id", "left_anti")
+    guessed = guessed.select("doc_id", "page", F.col("line").alias("ord"), F.col("level").alias("__level"))
+    marked = blocks.join(guessed, ["doc_id", "page", "ord"], "left")
+    said = F.col("__level").isNotNull()
+    marked = marked.withColumn("kind", F.when(said, "heading").otherwise(F.col("kind"))).withColumn("level", F.coalesce("__level", "level")).drop("__level")
+    # A reader's table without text stands beside the lines that it is made of.
+    apart = (F.col("kind") == "table") & (F.col("text") == "") & F.col("bbox").isNotNull()
+    drawn = marked.where(apart & worth_rendering(F.col("rows"), F.col("basis"))).select("doc_id", "page", F.col("bbox").alias("box"))
+    boxes = drawn.groupBy("doc_id", "page").agg(F.collect_list("box").alias("boxes"))
+    x, y = (F.col("bbox.x0") + F.col("bbox.x1")) / 2, (F.col("bbox.y0") + F.col("bbox.y1")) / 2
+    held = lambda b: x.between(b.x0, b.x1) & y.between(b.y0, b.y1)
+    lines = marked.where(~apart).join(boxes, ["doc_id", "page"], "left")
+    inside = F.coalesce(F.exists("boxes", held), F.lit(False)) & F.col("bbox").isNotNull()
+    # The table takes the place of its first line.
+    at = lines.where(inside).select("doc_id", "page", "ord", F.explode(F.filter("boxes", held)).alias("box")).groupBy("doc_id", "page", "box").agg(F.min("ord").alias("at"))
+    kept = lines.where(~inside).drop("boxes")
+    shown = marked.where(apart & worth_rendering(F.col("rows"), F.col("basis"))).withColumn("box", F.col("bbox")).join(at, ["doc_id", "page", "box"], "left")
+    shown = shown.withColumn("ord", F.coalesce("at", "ord")).drop("at", "box")
+    return kept.unionByName(shown.select(*kept.columns))
+
+
 def block_markdown(kind: Column, text: Column, level: Column, rows: Column) -> Column:
     """One block in Markdown."""
     return (

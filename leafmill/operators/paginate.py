@@ -15,11 +15,17 @@ def packed(sizes: Column, limit: int = LIMIT) -> Column:
 
     def step(s: Column, n: Column) -> Column:
         over = (s.used > 0) & (s.used + n > limit)
-        page, used = F.when(over, s.page + 1).otherwise(s.page), F.when(over, n).otherwise(s.used + n)
-        return F.struct(F.concat(s.pages, F.array(page)).alias("pages"), page.alias("page"), used.alias("used"))
+        first = F.when(over, F.concat(s.first, F.array(s.at))).otherwise(s.first)
+        return F.struct(first.alias("first"), (s.at + 1).alias("at"), F.when(over, n).otherwise(s.used + n).alias("used"))
 
-    begin = F.struct(F.array().cast("array<int>").alias("pages"), F.lit(1).alias("page"), F.lit(0).alias("used"))
-    return F.aggregate(F.transform(sizes, lambda x: x.cast("int")), begin, step, lambda s: s.pages)
+    # Only the first block of each page is collected; pages are many blocks long.
+    begin = F.struct(F.array(F.lit(0)).alias("first"), F.lit(0).alias("at"), F.lit(0).alias("used"))
+
+    def spread(s: Column) -> Column:
+        ends = lambda k: F.coalesce(F.get(s.first, k + 1), s.at)
+        return F.flatten(F.transform(s.first, lambda b, k: F.array_repeat(k + 1, ends(k) - b)))
+
+    return F.aggregate(F.transform(sizes, lambda x: x.cast("int")), begin, step, spread)
 
 
 def hard_cut(line: Column, limit: int = LIMIT) -> Column:

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import re
 import signal
-import time
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,14 +76,9 @@ def match_rows(text: str | None, found: re.Pattern) -> Iterator[tuple]:
 class FindMatches:
     """SQL: FROM pages, LATERAL find_matches(text, '(?P<user>...)@(?P<host>...)')."""
 
-    def __init__(self):
-        self.left = Budget().regex_seconds
-
     def eval(self, text: str, pattern: str):
-        began = time.monotonic()
-        with deadline(self.left):
+        with deadline(Budget().regex_seconds):
             rows = list(match_rows(text, compiled(pattern)))
-        self.left -= time.monotonic() - began
         yield from rows
 
 
@@ -96,6 +91,22 @@ def register(spark) -> None:
     spark.udtf.register("find_matches", find_matches)
 
 
+def guarded_count(pattern: str, seconds: float | None = None):
+    """A function of texts: how often a user's pattern matches, under the same timer as a search."""
+    compiled(pattern)
+    budget = seconds or Budget().regex_seconds
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        found, made = compiled(pattern), []
+        for text in texts:
+            with deadline(budget):
+                made.append(sum(1 for _ in found.finditer(text or "")))
+        return pd.Series(made, dtype="int64")
+
+    return count
+
+
 def searched(pages: DataFrame) -> DataFrame:
     """Pages that have text to search."""
     return pages.where(~ir.is_scanned(F.col("basis")))
@@ -112,20 +123,20 @@ def literal_matches(pages: DataFrame, query: str) -> DataFrame:
 
 
 def pattern_matches(pages: DataFrame, pattern: str, seconds: float | None = None) -> DataFrame:
-    """Matches of a pattern with its named groups; a task that exceeds the budget fails by name."""
+    """Matches of a pattern with its named groups; a page that exceeds the budget fails by name.
+
+    The budget is a page's, so an honest pattern does not fail because a partition is large.
+    """
     compiled(pattern)
     budget = seconds or Budget().regex_seconds
 
     def search(batches):
-        import pandas as pd
-
-        found, left = compiled(pattern), budget
+        found = compiled(pattern)
         for pdf in batches:
-            rows, began = [], time.monotonic()
-            with deadline(left):
-                for doc, page, text in zip(pdf["doc_id"], pdf["page"], pdf["text"]):
+            rows = []
+            for doc, page, text in zip(pdf["doc_id"], pdf["page"], pdf["text"]):
+                with deadline(budget):
                     rows += [(doc, page, *m) for m in match_rows(text, found)]
-            left -= time.monotonic() - began
             yield pd.DataFrame(rows, columns=["doc_id", "page", "line", "start", "end", "snippet", "groups"])
 
     return searched(pages).select("doc_id", "page", "text").mapInPandas(search, f"doc_id string, page int, {MATCH_ROW}")

@@ -82,7 +82,7 @@ def p01_page_selection(spark, d):
 @query(Q.P02_ORDERED_SELECTION)
 def p02_ordered_selection(spark, d):
     """Selections in a column, each in its order, with repeats."""
-    counts = V.conv_pages(spark, d).groupBy("doc_id").agg(F.max("page").alias("n")).where("n >= 3")
+    counts = V.conv_pages(spark, d).groupBy("doc_id").agg(F.max("page").alias("n"))
     chosen = counts.select("doc_id", F.posexplode(S.selected(F.lit("3,1,1-2,3-"), F.col("n"))).alias("position", "page"))
     return chosen.select("doc_id", (F.col("position") + 1).alias("position"), "page")
 
@@ -90,7 +90,7 @@ def p02_ordered_selection(spark, d):
 @query(Q.A09_PAGE_RANGES)
 def a09_page_ranges(spark, d):
     """Pages with a user's turn, as ranges."""
-    some = V.table(spark, d, "events").where("event_id % 3 <> 1").select(F.col("event_type").alias("doc_id"), (F.col("event_id") % 100 + 1).cast("int").alias("page"))
+    some = V.table(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").cast("string").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"))
     return S.page_ranges(some, ["doc_id"])
 
 
@@ -220,10 +220,10 @@ def w04_strip_heads(spark, d):
     return kept.groupBy("doc_id", "page").agg(F.count("*").alias("lines"), F.sum(F.length("text")).cast("long").alias("characters"))
 
 
-@query()
+@query(Q.W03_HYPHEN_JOIN)
 def w03_hyphen_join(spark, d):
     """Words that line ends broke; the data has none, so hyphens are put in."""
-    broken = F.regexp_replace(F.coalesce("text", F.lit("")), r"([a-z]{4})(tion\b)", "$1-\n$2")
+    broken = F.regexp_replace(F.coalesce("text", F.lit("")), r"([a-z]{4})(tion[ .,])", "$1-\n$2")
     joined = V.table(spark, d, "documents").select("doc_id", clean.join_hyphens(F.split(broken, "\n", -1)).alias("j"))
     return joined.select("doc_id", F.size("j.lines").cast("long").alias("lines"), F.col("j.joined").cast("long").alias("joined"))
 
@@ -323,7 +323,7 @@ def a06_weakest_basis(spark, d):
 @query(Q.F10_PIPE_TABLE)
 def f10_pipe_table(spark, d):
     """Ragged rows drawn as Markdown tables."""
-    rows = V.table(spark, d, "conversations").where("turn < 4").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.array_compact(F.array("role", F.when(F.col("turn") % 2 == 0, F.substring(F.coalesce("text", F.lit("")), 1, 20)))).alias("r"))))["r"].alias("rows"))
+    rows = V.table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.array_compact(F.array("role", F.when(F.col("turn") % 2 == 0, F.coalesce("text", F.lit(""))))).alias("r"))))["r"].alias("rows"))
     return rows.select("conv_id", T.pipe_table(F.col("rows")).alias("md"))
 
 
@@ -481,7 +481,7 @@ def f04_collapse(spark, d):
 def s19_share_links(spark, d):
     """Share links turned into direct ones."""
     key = F.col("page_id").cast("string")
-    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://github.com/o/r/blob/main/"), key)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://www.dropbox.com/s/"), key, F.lit("/f.pdf?dl=0"))).otherwise(F.col("url"))
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://github.com/o/r/blob/main/"), key)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://www.dropbox.com/s/"), key, F.lit("/f.pdf?rlkey=k"), key, F.lit("&dl=0"))).otherwise(F.col("url"))
     return V.table(spark, d, "pages").select("page_id", T.direct_link(url).alias("direct"))
 
 

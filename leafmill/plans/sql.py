@@ -1,8 +1,9 @@
 """DuckDB SQL that gives the same rows as the engine's queries."""
 
 _PAGES = """doc_pages AS (
-  SELECT source AS doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page, coalesce(text, '') AS text,
-    CASE WHEN length(trim(coalesce(text, ''))) >= 32 THEN 'text_layer' ELSE 'empty' END AS basis FROM documents)"""
+  SELECT volume AS doc_id, CAST(row_number() OVER (PARTITION BY volume ORDER BY doc_id) AS INTEGER) AS page, coalesce(text, '') AS text,
+    CASE WHEN length(trim(coalesce(text, ''))) >= 32 THEN 'text_layer' ELSE 'empty' END AS basis
+  FROM (SELECT *, concat_ws('-', source, CAST(doc_id // 1000 AS VARCHAR)) AS volume FROM documents))"""
 _LINES = _PAGES + """, doc_lines AS (
   SELECT doc_id, page, CAST(unnest(range(len(l))) AS INTEGER) AS line, unnest(l) AS text FROM (SELECT doc_id, page, string_split(text, chr(10)) AS l FROM doc_pages))"""
 _CONV = """conv AS (
@@ -60,7 +61,7 @@ s AS (SELECT doc_id, list_concat([3, 1, 1, 2], range(3, n + 1)) AS l FROM c)
 SELECT doc_id, CAST(generate_subscripts(l, 1) AS INTEGER) AS position, CAST(unnest(l) AS INTEGER) AS page FROM s
 """
 
-A09_PAGE_RANGES = _ranges("(SELECT event_type AS doc_id, event_id % 100 + 1 AS page FROM events WHERE event_id % 3 <> 1)")
+A09_PAGE_RANGES = f"WITH {_CONV}, asked AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn + 1 AS INTEGER) AS page FROM conversations WHERE role = 'user') " + _ranges("asked")
 
 U02_ASSEMBLE = f"""
 WITH {_CONV}, w(position, doc_id, page, rotation) AS (VALUES (1, '1', 2, 0), (2, '1', 1, 90), (3, '0', 1, 0), (4, '0', 2, 0))
@@ -236,8 +237,8 @@ WITH {_TABLES} SELECT doc_id, arg_max(basis, CASE basis WHEN 'native' THEN 0 WHE
 """
 F10_PIPE_TABLE = r"""
 WITH r AS (
-  SELECT conv_id, turn, list_transform(CASE WHEN turn % 2 = 0 THEN [role, substring(coalesce(text, ''), 1, 20)] ELSE [role] END,
-    lambda c: trim(regexp_replace(replace(c, '|', '\|'), '[\r\n]+', ' ', 'g'))) AS c FROM conversations WHERE turn < 4),
+  SELECT conv_id, turn, list_transform(CASE WHEN turn % 2 = 0 THEN [role, coalesce(text, '')] ELSE [role] END,
+    lambda c: trim(regexp_replace(replace(c, '|', '\|'), '[\r\n]+', ' ', 'g'))) AS c FROM conversations),
 w AS (SELECT conv_id, max(len(c)) AS n FROM r GROUP BY conv_id),
 l AS (SELECT conv_id, turn, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, '| ' || array_to_string(list_resize(c, n, ''), ' | ') || ' |' AS line FROM r JOIN w USING (conv_id))
 SELECT conv_id, string_agg(CASE WHEN i = 1 THEN line || chr(10) || '| ' || array_to_string(list_resize(['---'], n, '---'), ' | ') || ' |' ELSE line END, chr(10) ORDER BY i) AS md
@@ -268,10 +269,25 @@ SELECT count(*) AS pages, CAST(sum(len(regexp_extract_all(text, '(?i)[a-z0-9.]+@
 F12_ESCAPE = """
 SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;')) AS digest FROM pages
 """
-F17_SAFE_NAME = "SELECT page_id, left(regexp_replace(regexp_replace(replace(url, '/', ' ') || ' é.html', '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+', ''), 120) AS name FROM pages"
+W03_HYPHEN_JOIN = r"""
+WITH l AS (
+  SELECT doc_id, unnest(x) AS x, generate_subscripts(x, 1) AS i
+  FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([a-z]{4})(tion[ .,])', '\1-' || chr(10) || '\2', 'g'), chr(10)) AS x FROM documents)),
+said AS (
+  SELECT doc_id, i, row_number() OVER d AS k, i - lag(i) OVER d AS gap,
+    coalesce(i - lag(i) OVER d <= 2 AND regexp_matches(lag(x) OVER d, '[\p{L}\p{N}_]-\s*$') AND regexp_matches(x, '^\p{Ll}'), false) AS fits
+  FROM l WHERE regexp_matches(x, '\S') WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+taken AS (
+  SELECT doc_id, gap FROM (SELECT *, k - max(CASE WHEN NOT fits THEN k END) OVER (PARTITION BY doc_id ORDER BY k) AS place FROM said)
+  WHERE place % 2 = 1)
+SELECT l.doc_id, CAST(count(*) - coalesce(any_value(t.gone), 0) AS BIGINT) AS lines, CAST(coalesce(any_value(t.n), 0) AS BIGINT) AS joined
+FROM l LEFT JOIN (SELECT doc_id, sum(gap) AS gone, count(*) AS n FROM taken GROUP BY doc_id) t ON l.doc_id = t.doc_id GROUP BY l.doc_id
+"""
+
+F17_SAFE_NAME = "SELECT page_id, left(regexp_replace(regexp_replace(replace(url, '/', ' ') || ' é.html', '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 120) AS name FROM pages"
 F04_COLLAPSE = r"SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS digest FROM documents"
 S19_LINKS = """
-SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://raw.githubusercontent.com/o/r/main/' || page_id WHEN 1 THEN 'https://www.dropbox.com/s/' || page_id || '/f.pdf?dl=1' ELSE url END AS direct FROM pages
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://raw.githubusercontent.com/o/r/main/' || page_id WHEN 1 THEN 'https://www.dropbox.com/s/' || page_id || '/f.pdf?rlkey=k' || page_id || '&dl=1' ELSE url END AS direct FROM pages
 """
 S20_DATA_URI = "SELECT page_id, 'text/html' AS media_type, 'p.html' AS name, sha256(html) AS sha256 FROM pages"
 

@@ -13,11 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source is a document and each of its texts a page."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    read = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    """A document is what a source has among a thousand ids, and each of its texts a page.
+
+    There are more documents, not longer ones, the more texts there are.
+    """
+    read = table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", F.expr("doc_id div 1000")).alias("volume"), "doc_id", "text")
+    order = Window.partitionBy("volume").orderBy("doc_id")
     text = F.coalesce("text", F.lit(""))
-    return read.select(F.col("source").alias("doc_id"), F.row_number().over(order).alias("page"), text.alias("text"), ir.text_basis(text).alias("basis"), F.lit(False).alias("has_content"))
+    return read.select(F.col("volume").alias("doc_id"), F.row_number().over(order).alias("page"), text.alias("text"), ir.text_basis(text).alias("basis"), F.lit(False).alias("has_content"))
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

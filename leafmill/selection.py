@@ -19,11 +19,11 @@ class SelectionError(ValueError):
 
 
 def ordered(spec: str, page_count: int) -> list[int]:
-    """Pages in the order given, repeats kept. An empty selection is every page."""
+    """Pages in the order given, repeats kept. An empty selection is every page; empty clauses say nothing."""
     if not spec.strip():
         return list(range(1, page_count + 1))
     made: list[int] = []
-    for clause in spec.split(","):
+    for clause in filter(str.strip, spec.split(",")):
         found = _CLAUSE.match(clause)
         if not found:
             raise SelectionError(f"can't read {clause.strip()!r} in {spec!r}", "use 1-based pages and ranges such as 1-5,9,40-")
@@ -40,8 +40,13 @@ def ordered(spec: str, page_count: int) -> list[int]:
 
 
 def pages(spec: str, page_count: int) -> list[int]:
-    """Pages of a selection as a sorted set."""
-    return sorted(set(ordered(spec, page_count)))
+    """Pages of a selection as a sorted set, which must not be empty."""
+    if page_count < 1:
+        raise SelectionError("the document has no pages", "probe it first")
+    made = sorted(set(ordered(spec, page_count)))
+    if not made:
+        raise SelectionError(f"{spec!r} selects nothing", f"use 1-{page_count}")
+    return made
 
 
 def collapse(numbers: list[int]) -> str:
@@ -56,16 +61,22 @@ def collapse(numbers: list[int]) -> str:
 
 
 def selected(spec: Column, page_count: Column) -> Column:
-    """A column of selections as arrays of pages, in the order given."""
-    clauses = F.transform(F.split(F.when(F.trim(spec) == "", "1-").otherwise(spec), ","), lambda c: F.trim(c))
+    """A column of selections as arrays of pages, in the order given.
+
+    A selection that can't be met (unreadable, backwards, beyond the last page) is null: one bad
+    row is no end of a job.
+    """
+    clauses = F.filter(F.transform(F.split(F.when(F.trim(spec) == "", "1-").otherwise(spec), ","), lambda c: F.trim(c)), lambda c: c != "")
 
     def bounds(c: Column) -> Column:
-        low = F.regexp_extract(c, r"^(\d+)", 1).cast("int")
+        low = F.regexp_extract(c, r"^(\d+)", 1).try_cast("int")
         tail = F.regexp_extract(c, r"-\s*(\d+)$", 1)
-        high = F.when(~c.contains("-"), low).when(tail == "", page_count).otherwise(F.expr("CAST(NULL AS INT)"))
-        return F.sequence(low, F.coalesce(high, tail.try_cast("int")))
+        high = F.when(~c.contains("-"), low).when(tail == "", page_count).otherwise(tail.try_cast("int"))
+        fits = c.rlike(r"^\d+\s*(?:-\s*(?:\d+)?)?$") & (low >= 1) & (low <= high) & (high <= page_count)
+        return F.when(fits, F.sequence(low, high))
 
-    return F.flatten(F.transform(clauses, bounds))
+    made = F.transform(clauses, bounds)
+    return F.when(~F.exists(made, lambda r: r.isNull()), F.flatten(made))
 
 
 def page_ranges(rows: DataFrame, keys: list[str], page: str = "page") -> DataFrame:

@@ -29,6 +29,7 @@ class Block:
     page: int = 1
     size: float = 0.0
     bbox: tuple[float, float, float, float] | None = None
+    basis: str = ""  # the document's, if empty
 
 
 @dataclass
@@ -135,7 +136,7 @@ def _rows(name: str, data: bytes) -> list[dict]:
     made = []
     for i, b in enumerate(paged(document), 1):
         box = dict(zip(("x0", "y0", "x1", "y1"), b.bbox)) if b.bbox else None
-        made.append({"doc_id": name, "page": b.page, "ord": i, "kind": b.kind, "basis": document.basis, "text": b.text, "size": float(b.size), "level": b.level, "bbox": box, "rows": b.rows,
+        made.append({"doc_id": name, "page": b.page, "ord": i, "kind": b.kind, "basis": b.basis or document.basis, "text": b.text, "size": float(b.size), "level": b.level, "bbox": box, "rows": b.rows,
                      "format": document.format, "pagination": document.pagination, "meta": {k: str(v) for k, v in document.meta.items()}})
     return made
 
@@ -148,10 +149,21 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return made.where(made.notna(), None)
 
 
+#: Bytes of documents whose blocks are one frame, about.
+FRAME_BYTES = 1 << 20
+
+
 def _read_batches(batches):
     for pdf in batches:
+        rows, size = [], 0
         for name, content in zip(pdf["name"], pdf["content"]):
-            yield _frame(_rows(name, bytes(content or b"")))
+            rows += _rows(name, bytes(content or b""))
+            size += len(content or b"")
+            if size >= FRAME_BYTES:
+                yield _frame(rows)
+                rows, size = [], 0
+        if rows:
+            yield _frame(rows)
 
 
 def read_column(rows: DataFrame, name: str, content: str) -> DataFrame:
@@ -161,9 +173,10 @@ def read_column(rows: DataFrame, name: str, content: str) -> DataFrame:
     return named.mapInPandas(_read_batches, BLOCK_ROWS)
 
 
-def read_files(spark: SparkSession, path: str, glob: str = "*", budget: Budget = Budget()) -> DataFrame:
-    """Blocks of files. Files over the source ceiling are rows with an error and are never opened."""
+def read_files(spark: SparkSession, path: str, glob: str = "*", budget: Budget = Budget(), only: str = "") -> DataFrame:
+    """Blocks of files, or of `only` one. Files over the source ceiling are rows with an error and are never opened."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    files = files.where(F.col("path") == only) if only else files
     fits = read_column(files.where(F.col("length") <= budget.source_bytes).select("path", "content"), "path", "content")
     large = files.where(F.col("length") > budget.source_bytes).select("path")
     schema = fits.schema
@@ -172,11 +185,21 @@ def read_files(spark: SparkSession, path: str, glob: str = "*", budget: Budget =
 
 
 def pages(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page, text, basis, has_content) of blocks: block texts joined by line ends."""
-    listed = blocks.where("error IS NULL").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("b"), F.first("basis").alias("basis"))
-    return listed.select("doc_id", "page", F.array_join(F.col("b")["text"], "\n").alias("text"), "basis", F.lit(False).alias("has_content"))
+    """(doc_id, page, text, basis, has_content) of blocks: block texts joined by line ends.
+
+    A table without a text says what other blocks say and adds no line; a figure is content
+    without text. The page's basis is that of its text.
+    """
+    drawn = F.col("kind").isin("table", "figure") & (F.col("text") == "")
+    listed = blocks.where("error IS NULL").groupBy("doc_id", "page").agg(
+        F.sort_array(F.collect_list(F.when(~drawn, F.struct("ord", "text")))).alias("b"),
+        F.coalesce(F.min_by("basis", F.when(~drawn, F.col("ord"))), F.first("basis")).alias("basis"),
+        F.max(F.col("kind") == "figure").alias("has_content"),
+    )
+    return listed.select("doc_id", "page", F.array_join(F.col("b")["text"], "\n").alias("text"), "basis", "has_content")
 
 
 def block_lines(blocks: DataFrame) -> DataFrame:
     """Lines of blocks without geometry: one block is one line."""
-    return blocks.where("error IS NULL").select("doc_id", "page", F.col("ord").alias("line"), "text", "size")
+    drawn = F.col("kind").isin("table", "figure") & (F.col("text") == "")
+    return blocks.where(F.col("error").isNull() & ~drawn).select("doc_id", "page", F.col("ord").alias("line"), "text", "size")

@@ -1,14 +1,19 @@
 """A small PDF text reader on the standard library: Flate streams, simple fonts, ToUnicode maps.
 
-It serves born-digital files with plain content streams. Encrypted files, other filters and
-recognition of pixels need a library and say so.
+It serves born-digital files with plain content streams: words with geometry in reading order,
+ruling lines and the tables they draw, bookmarks, and for each page whether it has text, only
+pictures, or nothing. Encrypted files, other filters and recognition of pixels need a library and
+say so.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
+from leafmill.ir import TEXT_LAYER_CHARS
+from leafmill.sources import page_layout as L
 from leafmill.sources.base import Block, Document, ReadError
 
 _OBJECT = re.compile(rb"(?:^|[\r\n\s])(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
@@ -65,6 +70,7 @@ class Pdf:
         root = next((n for n, b in self.objects.items() if re.search(rb"/Type\s*/Catalog\b", b)), None)
         start = self.follow(self.objects[root], b"Pages") if root is not None else []
         made, todo, seen = [], start[::-1], set()
+        self.page_numbers: list[int] = []
         while todo:
             number = todo.pop()
             if number in seen or number not in self.objects:
@@ -75,13 +81,14 @@ class Pdf:
                 todo += self.follow(body, b"Kids")[::-1]
             else:
                 made.append(body)
+                self.page_numbers.append(number)
         return made
 
     def content(self, page: bytes) -> bytes:
         return b"\n".join(self.stream(self.objects.get(n, b"")) for n in self.follow(page, b"Contents"))
 
-    def maps(self, page: bytes) -> dict[bytes, dict[int, str]]:
-        """ToUnicode maps of a page's fonts by resource name."""
+    def fonts(self, page: bytes) -> dict[bytes, Font]:
+        """A page's fonts by resource name."""
         made = {}
         resources = page
         for n in self.follow(page, b"Resources"):
@@ -89,13 +96,77 @@ class Pdf:
         fonts = re.search(rb"/Font\s*<<(.*?)>>", resources, re.S)
         listed = fonts[1] if fonts else b"".join(self.objects.get(n, b"") for n in self.follow(resources, b"Font"))
         for name, number in re.findall(rb"/(\S+)\s+(\d+)\s+\d+\s+R", listed):
-            for n in self.follow(self.objects.get(int(number), b""), b"ToUnicode"):
-                made[name] = character_map(self.stream(self.objects.get(n, b"")))
+            body = self.objects.get(int(number), b"")
+            font = made[name] = Font()
+            for n in self.follow(body, b"ToUnicode"):
+                font.known, font.code_bytes = character_map(self.stream(self.objects.get(n, b"")))
+            first, widths = re.search(rb"/FirstChar\s+(\d+)", body), re.search(rb"/Widths\s*\[([^\]]*)\]", body)
+            listed_apart = widths[1] if widths else b"".join(self.objects.get(n, b"") for n in self.follow(body, b"Widths"))
+            if first and listed_apart:
+                font.widths = {int(first[1]) + i: float(w) / 1000 for i, w in enumerate(re.findall(rb"[-\d.]+", listed_apart))}
         return made
 
+    def inherited(self, page: bytes, key: bytes) -> bytes:
+        """A page's value in brackets, its own or a parent's."""
+        for _ in range(32):
+            found = re.search(rb"/" + key + rb"\s*(?:\[([^\]]*)\]|([-\d.]+))", page)
+            if found:
+                return found[1] if found[1] is not None else found[2]
+            above = self.follow(page, b"Parent")
+            if not above or above[0] not in self.objects:
+                break
+            page = self.objects[above[0]]
+        return b""
+
+    def box(self, page: bytes) -> tuple[float, float, int]:
+        """(width, height, rotation) of a page."""
+        said = [float(x) for x in re.findall(rb"[-\d.]+", self.inherited(page, b"MediaBox"))]
+        width, height = (said[2] - said[0], said[3] - said[1]) if len(said) == 4 else (612.0, 792.0)
+        return width, height, int(float(self.inherited(page, b"Rotate") or 0)) % 360
+
+    def bookmarks(self) -> list[dict]:
+        """The outline tree in order: level, title, page (None if it leads elsewhere)."""
+        numbers = {n: i for i, n in enumerate(self.page_numbers, 1)}
+        roots = [n for b in self.objects.values() if re.search(rb"/Type\s*/Catalog\b", b) for n in self.follow(b, b"Outlines")]
+        todo = [(n, 1) for r in roots for n in self.follow(self.objects.get(r, b""), b"First")]
+        made, seen = [], set()
+        while todo:
+            number, level = todo.pop()
+            if number in seen or number not in self.objects:
+                continue
+            seen.add(number)
+            body = self.objects[number]
+            title = re.search(rb"/Title\s*(\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>)", body, re.S)
+            raw = _bytes(title[1]) if title else b""
+            said = raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
+            target = re.search(rb"/(?:Dest|D)\s*\[\s*(\d+)\s+\d+\s+R", body)
+            if not target:
+                target = next((t for n in self.follow(body, b"A") if (t := re.search(rb"/D\s*\[\s*(\d+)\s+\d+\s+R", self.objects.get(n, b"")))), None)
+            made.append({"level": level, "title": said.strip(), "page": numbers.get(int(target[1])) if target else None})
+            todo += [(n, level) for n in self.follow(body, b"Next")] + [(n, level + 1) for n in self.follow(body, b"First")]
+        return made
+
+
+class Font:
+    """Codes to text, bytes of a code, and widths of codes where the font states them."""
+
+    def __init__(self):
+        self.known: dict[int, str] | None = None
+        self.code_bytes, self.widths = 1, {}
+
+    def codes(self, raw: bytes) -> list[int]:
+        n = self.code_bytes
+        return [int.from_bytes(raw[i : i + n], "big") for i in range(0, len(raw), n)]
+
+    def width(self, raw: bytes) -> float:
+        """How far a shown string goes, against its height."""
+        return sum(self.widths.get(c, ADVANCE) for c in self.codes(raw))
+
 
-def character_map(data: bytes) -> dict[int, str]:
-    """Codes to text from bfchar and bfrange sections."""
+def character_map(data: bytes) -> tuple[dict[int, str], int]:
+    """Codes to text from bfchar and bfrange sections, and the bytes of a code by its code space."""
+    spaces = [len(h) // 2 for section in re.findall(rb"begincodespacerange(.*?)endcodespacerange", data, re.S) for h in re.findall(rb"<([0-9A-Fa-f]+)>", section)]
+    written = [len(h) // 2 for h in re.findall(rb"(?:beginbf(?:char|range)\s*)<([0-9A-Fa-f]+)>", data)]
     said = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
     made: dict[int, str] = {}
     for section in re.findall(rb"beginbfchar(.*?)endbfchar", data, re.S):
@@ -109,7 +180,7 @@ def character_map(data: bytes) -> dict[int, str]:
                     made[first + i] = said(f"{int(one, 16) + i:0{len(one)}x}".encode())
             else:
                 made |= {first + i: said(t) for i, t in enumerate(re.findall(rb"<([0-9A-Fa-f]+)>", many))}
-    return made
+    return made, max(spaces or written or [1]) or 1
 
 
 def _bytes(token: bytes) -> bytes:
@@ -119,17 +190,15 @@ def _bytes(token: bytes) -> bytes:
     return re.sub(rb"\\(\r?\n|[0-7]{1,3}|.)", lambda m: _ESCAPES.get(m[1], bytes([int(m[1], 8) & 255]) if m[1].isdigit() else b"" if m[1].strip() == b"" else m[1]), token[1:-1], flags=re.S)
 
 
-def decode(raw: bytes, known: dict[int, str] | None) -> str:
+def decode(raw: bytes, font: Font | None) -> str:
     """Text of a shown string; a code that the font's map lacks becomes U+FFFD."""
-    if known is None:
+    if font is None or font.known is None:
         return raw.decode("cp1252", "replace")
-    wide = max(known, default=0) > 255
-    codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)] if wide else list(raw)
-    return "".join(known.get(c, "\ufffd") for c in codes)
+    return "".join(font.known.get(c, "\ufffd") for c in font.codes(raw))
 
 
-def runs(content: bytes, fonts: dict[bytes, dict[int, str]], height: float) -> list[tuple[str, float, float, float]]:
-    """(text, x, top, size) of every shown string, from the top left."""
+def runs(content: bytes, fonts: dict[bytes, Font], height: float) -> list[tuple[str, float, float, float, float]]:
+    """(text, x, top, size, width) of every shown string, from the top left."""
     made, stack, size, font, leading = [], [], 12.0, None, 0.0
     line = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]
     now = list(line)
@@ -141,16 +210,18 @@ def runs(content: bytes, fonts: dict[bytes, dict[int, str]], height: float) -> l
         now[:] = line
 
     def show(parts: list) -> None:
-        text = "".join(p if isinstance(p, str) else " " if p < -200 else "" for p in parts)
+        text = "".join(p[0] if isinstance(p, tuple) else " " if p < -200 else "" for p in parts)
         scale = abs(now[3]) or 1.0
+        across = sum(p[1] if isinstance(p, tuple) else -p / 1000 for p in parts) * size * (now[0] or 1.0)
         if text:
-            made.append((text, now[4], height - now[5] - size * scale, size * scale))
-        now[4] += len(text) * size * ADVANCE * (now[0] or 1.0)
+            made.append((text, now[4], height - now[5] - size * scale, size * scale, across))
+        now[4] += across
 
     for token in _TOKEN.findall(content):
         first = token[:1]
         if first in b"(<":
-            (stack if inside is None else inside).append(decode(_bytes(token), fonts.get(font)))
+            raw, known = _bytes(token), fonts.get(font)
+            (stack if inside is None else inside).append((decode(raw, known), known.width(raw) if known else len(raw) * ADVANCE))
         elif token == b"[":
             inside = []
         elif token == b"]":
@@ -192,37 +263,85 @@ def has_content(content: bytes) -> bool:
     return bool(re.search(rb"\b(?:re|l|c|Do|f|S|B)\b", content))
 
 
-def words(data: bytes) -> list[tuple[int, str, float, float, float, float, float]]:
-    """(page, text, x0, y0, x1, y1, size) of every word."""
-    pdf, made = Pdf(data), []
-    for number, page in enumerate(pdf.pages(), 1):
-        for text, x, top, size in runs(pdf.content(page), pdf.maps(page), _height(page)):
-            for m in re.finditer(r"\S+", text):
-                step = size * ADVANCE
-                made.append((number, m[0], x + m.start() * step, top, x + m.end() * step, top + size, size))
+def rulings(content: bytes, height: float) -> list[tuple[float, float, float, float]]:
+    """(x0, y0, x1, y1) of straight strokes and of the sides of boxes, from the top left."""
+    made, path, stack, at = [], [], [], (0.0, 0.0)
+    matrix, saved = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), []
+
+    def place(x: float, y: float) -> tuple[float, float]:
+        a, b, c, d, e, f = matrix
+        return a * x + c * y + e, height - (b * x + d * y + f)
+
+    for token in _TOKEN.findall(content):
+        if token[:1] in b"-+.0123456789":
+            stack.append(float(token))
+            continue
+        try:
+            if token == b"q":
+                saved.append(matrix)
+            elif token == b"Q":
+                matrix = saved.pop()
+            elif token == b"cm":
+                a, b, c, d, e, f = stack[-6:]
+                m = matrix
+                matrix = (a * m[0] + b * m[2], a * m[1] + b * m[3], c * m[0] + d * m[2], c * m[1] + d * m[3], e * m[0] + f * m[2] + m[4], e * m[1] + f * m[3] + m[5])
+            elif token == b"m":
+                at = place(*stack[-2:])
+            elif token == b"l":
+                path.append((*at, *(at := place(*stack[-2:]))))
+            elif token == b"re":
+                x, y, w, h = stack[-4:]
+                corners = [place(x, y), place(x + w, y), place(x + w, y + h), place(x, y + h)]
+                path += [(*p, *q) for p, q in zip(corners, [*corners[1:], corners[0]])]
+            elif token in (b"S", b"s", b"f", b"F", b"f*", b"B", b"B*", b"b", b"b*"):
+                made += path
+                path = []
+            elif token == b"n":
+                path = []
+        except (IndexError, ValueError, TypeError):
+            pass  # an operator without its operands draws nothing
+        stack = []
+    return [(min(a, c), min(b, d), max(a, c), max(b, d)) for a, b, c, d in made if abs(a - c) <= L.THIN or abs(b - d) <= L.THIN]
+
+
+def _words(shown: list[tuple]) -> list[tuple[float, float, float, float, str, float]]:
+    """(x0, y0, x1, y1, text, size) of every word."""
+    made = []
+    for text, x, top, size, across in shown:
+        step = across / len(text)
+        made += [(x + m.start() * step, top, x + m.end() * step, top + size, m[0], size) for m in re.finditer(r"\S+", text)]
     return made
 
 
-def _height(page: bytes) -> float:
-    box = re.search(rb"/MediaBox\s*\[\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)", page)
-    return float(box[4]) - float(box[2]) if box else 792.0
+def words(data: bytes) -> list[tuple[int, str, float, float, float, float, float]]:
+    """(page, text, x0, y0, x1, y1, size) of every word."""
+    pdf = Pdf(data)
+    shown = [(n, w) for n, page in enumerate(pdf.pages(), 1) for w in _words(runs(pdf.content(page), pdf.fonts(page), pdf.box(page)[1]))]
+    return [(n, w[4], *w[:4], w[5]) for n, w in shown]
 
 
 def read_pdf(data: bytes) -> Document:
-    """A page is a page; strings at one height are a block."""
-    pdf, blocks, kinds = Pdf(data), [], []
+    """A page is a page, with a basis of its own; a line of a column is a block, in reading order.
+
+    A table is a block without text, as its words are in the lines already; a page that only
+    draws is a figure. meta holds each page's size and columns, and the bookmarks.
+    """
+    pdf, blocks, kinds, layout = Pdf(data), [], [], []
     pages = pdf.pages()
     for number, page in enumerate(pages, 1):
-        content = pdf.content(page)
-        shown = sorted(runs(content, pdf.maps(page), _height(page)), key=lambda r: (round(r[2], 1), r[1]))
-        lines: list[list[tuple]] = []
-        for r in shown:
-            if lines and abs(lines[-1][-1][2] - r[2]) <= 2.0:
-                lines[-1].append(r)
-            else:
-                lines.append([r])
-        made = [Block("para", " ".join(r[0].strip() for r in line if r[0].strip()), page=number, size=line[0][3], bbox=(line[0][1], line[0][2], line[-1][1] + len(line[-1][0]) * line[-1][3] * ADVANCE, line[0][2] + line[0][3])) for line in lines if any(r[0].strip() for r in line)]
-        enough = len("".join(b.text for b in made).strip()) >= 32
-        kinds.append("text_layer" if enough else "scanned" if has_content(content) else "empty")
-        blocks += made or [Block("para", "", page=number)]
-    return Document("pdf", blocks, pagination="native", page_count=max(1, len(pages)), meta={"page_kinds": ",".join(kinds)}, basis="text_layer" if "text_layer" in kinds else "empty")
+        content, (width, height, rotation) = pdf.content(page), pdf.box(page)
+        found = _words(runs(content, pdf.fonts(page), height))
+        cuts, tabular = L.columns(found, width)
+        made = [Block("para", " ".join(w[4] for w in line), page=number, size=max(w[5] for w in line), bbox=(line[0][0], min(w[1] for w in line), max(w[2] for w in line), max(w[3] for w in line))) for line in L.lines(found, cuts)]
+        kind = "text_layer" if len("".join(b.text for b in made).strip()) >= TEXT_LAYER_CHARS else "scanned" if has_content(content) else "empty"
+        for b in made:
+            b.basis = "text_layer" if kind == "text_layer" else "empty"
+        for rows, basis, box in L.tables(found, rulings(content, height), bool(cuts)):
+            made.append(Block("table", "", rows=rows, page=number, bbox=box, basis=basis))
+        if kind == "scanned":
+            made.append(Block("figure", "", page=number, basis="empty"))
+        kinds.append(kind)
+        layout.append({"width": width, "height": height, "rotation": rotation, "columns": 1 if tabular else len(cuts) + 1, "looks_tabular": tabular, "words": len(found)})
+        blocks += made or [Block("para", "", page=number, basis="empty")]
+    meta = {"page_kinds": ",".join(kinds), "layout": json.dumps(layout), "bookmarks": json.dumps(pdf.bookmarks())}
+    return Document("pdf", blocks, pagination="native", page_count=max(1, len(pages)), meta=meta, basis="text_layer" if "text_layer" in kinds else "empty")

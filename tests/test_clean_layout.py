@@ -15,6 +15,10 @@ from leafmill.operators import clean, layout, markdown, paginate, redact, search
         (["a state-of-the-art.", "b", "end-"], ["a state-of-the-art.", "b", "end-"], 0),
         (["- ", "b"], ["- ", "b"], 0),
         (["x-", "", "Y-", "z"], ["x-", "", "Yz"], 1),
+        (["x-", "  ", "Y"], ["x-", "  ", "Y"], 0),
+        (["x-", " indented"], ["x-", " indented"], 0),
+        (["", "a-", "", "b-", "c-", "d", "", ""], ["", "ab-", "cd", "", ""], 2),
+        (["a-"] + ["b-"] * 4 + ["c"], ["ab-", "bb-", "bc"], 3),
         ([], [], 0),
     ],
 )

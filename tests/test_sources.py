@@ -1,6 +1,8 @@
 """Readers on small files made here."""
 
+import dataclasses
 import io
+import json
 import zipfile
 import zlib
 
@@ -8,8 +10,11 @@ import pytest
 
 from leafmill.budget import Budget
 from leafmill.engine import Engine
+from leafmill.sinks.paths import output_path
+from leafmill.sinks.pdf import text_pdf
 from leafmill.sources import base
 from leafmill.sources.archive import manifest, member
+from leafmill.sources.fetch import fetch, file_name
 from leafmill.sources.pdf import character_map, words
 from leafmill.sources.xbrl import facts
 
@@ -146,12 +151,97 @@ def test_pdf():
     assert d.meta["page_kinds"] == "text_layer,scanned,empty" and d.page_count == 3
     assert words(pdf(text))[0][:4] == (1, "First", 72.0, 80.0)
     cmap = b"beginbfchar <01> <0041> endbfchar beginbfrange <02> <04> <0042> <10> <11> [<0058> <00590059>] endbfrange"
-    assert character_map(cmap) == {1: "A", 2: "B", 3: "C", 4: "D", 16: "X", 17: "YY"}
+    assert character_map(cmap) == ({1: "A", 2: "B", 3: "C", 4: "D", 16: "X", 17: "YY"}, 1)
+    wide = b"begincodespacerange <0000> <FFFF> endcodespacerange beginbfchar <0001> <0041> <0002> <0042> endbfchar"
+    assert base.read("w.pdf", pdf(b"BT /F1 10 Tf 10 10 Td <00010002> Tj ET", cmap=wide)).blocks[0].text == "AB"
     assert base.read("g.pdf", pdf(b"BT /F1 10 Tf 10 10 Td <0102031105> Tj ET", cmap=cmap)).blocks[0].text == "ABCYY�"
     with pytest.raises(base.ReadError, match="encrypted"):
         base.read("e.pdf", pdf(text, extra=b"\ntrailer <</Encrypt 9 0 R>>"))
 
 
+def shown(x, y, text):
+    return b"BT /F1 10 Tf %d %d Td (%s) Tj ET " % (x, y, text.encode())
+
+
+def two_columns():
+    left = b"".join(shown(60, 700 - 14 * i, f"left row {i} goes on here") for i in range(24))
+    right = b"".join(shown(330, 700 - 14 * i, f"right row {i} goes on") for i in range(24))
+    return right + left + shown(60, 740, "A running head that spans both of the columns of this page, whole")
+
+
+def ruled():
+    lines = b"".join(b"%d %d 120 30 re S " % (100 + 120 * c, 500 + 30 * r) for r in range(2) for c in range(2))
+    return lines + shown(105, 540, "Name:") + shown(225, 545, "Rate and") + shown(225, 533, "term") + shown(105, 510, "Loan") + shown(225, 510, "4.5") + shown(100, 650, "Before the table there is a line of text")
+
+
+def test_pdf_pages_have_a_layout():
+    d = base.read("two.pdf", pdf(two_columns()))
+    texts = [b.text for b in d.blocks if " row " in b.text]  # the head's words go to the column that holds them
+    assert texts == [f"left row {i} goes on here" for i in range(24)] + [f"right row {i} goes on" for i in range(24)] and d.blocks[0].text.startswith("A running head")
+    assert json.loads(d.meta["layout"])[0]["columns"] == 2 and not [b for b in d.blocks if b.kind == "table"]
+    d = base.read("ruled.pdf", pdf(ruled()))
+    table = [b for b in d.blocks if b.kind == "table"]
+    assert [(t.basis, t.rows) for t in table] == [("ruled", [["Name:", "Rate and term"], ["Loan", "4.5"]])]
+    gaps = b"".join(shown(100, 600 - 14 * i, f"item{i}") + shown(300, 600 - 14 * i, f"{i}.50") for i in range(5)) + shown(100, 650, "A heading of some words")
+    table = [b for b in base.read("gaps.pdf", pdf(gaps)).blocks if b.kind == "table"]
+    assert [(t.basis, t.rows) for t in table] == [("whitespace", [[f"item{i}", f"{i}.50"] for i in range(5)])]
+
+
+def test_pdf_bookmarks():
+    marks = b"""\n5 0 obj <</Type /Catalog /Pages 2 0 R /Outlines 6 0 R>> endobj
+6 0 obj <</First 7 0 R>> endobj
+7 0 obj <</Title (Part \\(one\\)) /Dest [10 0 R /Fit] /First 8 0 R /Next 9 0 R>> endobj
+8 0 obj <</Title <FEFF00E9> /A <</S /GoTo /D [12 0 R /Fit]>> >> endobj
+9 0 obj <</Title (Elsewhere)>> endobj"""
+    d = base.read("b.pdf", pdf(shown(60, 700, "x" * 40), shown(60, 700, "y" * 40)) + marks)
+    assert json.loads(d.meta["bookmarks"]) == [{"level": 1, "title": "Part (one)", "page": 1}, {"level": 2, "title": "\u00e9", "page": 2}, {"level": 1, "title": "Elsewhere", "page": None}]
+
+
+def test_pdf_sink_reads_back():
+    made = text_pdf(["first page of (text)\n  indented \\ line", "word " * 400, ""])
+    d = base.read("s.pdf", made)
+    assert d.blocks[0].text == "first page of (text)" and "indented \\ line" in d.blocks[1].text
+    assert sum(b.text.count("word") for b in d.blocks) == 400
+
+
+def test_output_paths():
+    assert output_path("", "file:/in/a.pdf", ".md") == "a_out.md" and output_path("", "/in/z.zip::b.txt", ".md", "/out") == "/out/z.zip_b_out.md"
+    assert output_path("sub/x.md", "a", ".md", "/out") == "/out/sub/x.md" and output_path("file:/out/x", "a", "", "file:/out") == "file:/out/x"
+    for bad in ("../x", "/etc/x", "s3a://b/x", "/outside", "sub/../../x"):
+        with pytest.raises(base.ReadError, match="outside"):
+            output_path(bad, "a", ".md", "/out")
+
+
+def test_fetch(spark):
+    import http.server
+    import threading
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.send_header("Content-Type", "text/markdown; charset=utf-8")
+            self.end_headers()
+            self.wfile.write(b"# Title" if self.path == "/a" else b"x" * 5000)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    rows = [(f"{at}/a",), (f"{at}/big",), ("ftp://x/y",)]
+    urls = spark.createDataFrame(rows, "url string")
+    got = {r.url: r for r in fetch(urls, budget=Budget(source_bytes=1000), allowed=lambda u: None).collect()}
+    assert (got[f"{at}/a"].name, bytes(got[f"{at}/a"].content), got[f"{at}/a"].error) == ("a.md", b"# Title", None)
+    assert "over 1000 bytes" in got[f"{at}/big"].error and got["ftp://x/y"].error
+    private = {r.url: r for r in fetch(urls).collect()}
+    assert "not public" in private[f"{at}/a"].error and "no http" in private["ftp://x/y"].error
+    blocks = base.read_column(fetch(urls.limit(1), allowed=lambda u: None), "name", "content").collect()
+    assert [(b.kind, b.text) for b in blocks] == [("heading", "Title")]
+    assert file_name("http://x/", 'attachment; filename="..a b.pdf"') == "a_b.pdf" and file_name("http://x/", "", "application/pdf") == "download.pdf"
+    server.shutdown()
+
+
 @pytest.fixture(scope="module")
 def engine(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("files")
@@ -160,6 +250,9 @@ def engine(spark, tmp_path_factory):
     (folder / "r.md").write_text("# One\n\nmail me at x@y.z\n\nsecond ant and Ant\n")
     (folder / "long.txt").write_text("\n\n".join(f"Paragraph {i} " + f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x " * 300 for i in range(60)))
     (folder / "big.txt").write_text("x" * 200_000)
+    (folder / "hybrid.pdf").write_bytes(pdf(two_columns(), ruled(), b"0 0 100 100 re f", b"0 0 90 90 re f", b""))
+    with zipfile.ZipFile(folder / "z.zip", "w") as z:
+        z.writestr("in.txt", "inside")
     return Engine.open(spark, str(folder), budget=Budget(source_bytes=150_000)), "file:" + str(folder)
 
 
@@ -199,8 +292,38 @@ def test_engine(engine, tmp_path):
     assert run("extracts", "r.md")["hint"] == "did you mean extract" and run("find", "r.md", qery="x")["hint"] == "did you mean query"
 
 
+def test_engine_reads_pdf_pages(engine, tmp_path):
+    e, folder = engine
+    run = lambda op, **more: e.run(op, source=f"{folder}/hybrid.pdf", **more)
+    probed = run("probe")["result"]
+    assert (probed["born_digital"], probed["scanned"], probed["empty"], probed["scanned_pages"], probed["ruled_pages"], probed["page_size"]) == (2, 2, 1, "3-5", "2", [612.0, 792.0])
+    text = run("extract", pages="1")["result"]
+    assert text["columns"] == [2] and text["text"].index("left row 23") < text["text"].index("right row 0")
+    assert run("extract_tables")["result"]["by_basis"] == {"ruled": 1}
+    page = run("read_page", page=2)["result"]
+    assert page["size"] == [612.0, 792.0] and page["tables"] == [[["Name:", "Rate and term"], ["Loan", "4.5"]]]
+    md = run("to_markdown", pages="2")["result"]["markdown"]
+    assert "| Loan | 4.5 |" in md and md.count("Loan") == 1 and md.index("Before") < md.index("| Name:")
+    assert run("ocr")["refused"] and run("convert", to="images")["refused"] and "dpi=" in run("convert", to="images", pages="1-2", dpi=3000)["hint"]
+    plugged = dataclasses.replace(e, recogniser=lambda source, pages: {p: f"read {p}" for p in pages}, out_root=str(tmp_path), renderer=lambda *a: None, cipher=lambda *a: None, rewriter=lambda s, a, o: (100, 50))
+    run = lambda op, **more: plugged.run(op, source=f"{folder}/hybrid.pdf", **more)
+    done = run("ocr")["result"]
+    assert (done["pages_ocred"], done["pages"], done["pages_still_without_text"]) == (2, "3-4", 1)
+    assert run("convert", to="images", pages="1")["success"] and run("optimize")["result"]["bytes_after"] == 50 and run("protect", action="encrypt", password="x")["success"]
+    assert run("convert", to="pdf", pages="1", out="o.pdf")["result"]["bytes"] == len((tmp_path / "o.pdf").read_bytes())
+    assert not run("convert", to="pdf", pages="1", out="../o.pdf")["success"]
+    assert plugged.run("convert", source=f"{folder}/z.zip::in.txt", to="file")["success"] and (tmp_path / "in.txt").read_text() == "inside"
+
+
+def test_a_slow_pattern_is_a_refusal(spark):
+    blocks = base.read_column(spark.createDataFrame([("a.txt", "word " * 12 + "a" * 40 + "!")], "name string, text string"), "name", "text")
+    e = Engine(spark, blocks, Budget(regex_seconds=0.3))
+    for made in (e.run("find", source="a.txt", query=r"(\s*\w+)+$", regex=True), e.run("redact", source="a.txt", pattern=r"(\s*\w+)+$", regex=True)):
+        assert not made["success"] and made["refused"] and made["limit"] == 0.3
+
+
 def test_corpus_frames(engine):
     e, _ = engine
-    assert e.probe_frame().count() == 3 and e.tables_frame().count() == 1 and e.extract_frame().count() == 3
+    assert e.probe_frame().count() == 5 and e.tables_frame().count() == 2 and e.extract_frame().count() == 5
     assert e.blocks.where("error IS NOT NULL").count() == 2 and e.find_frame("ant").count() >= 2
-    assert e.markdown_frame().count() == 3 and e.outline_frame().where("basis = 'native'").count() == 4
+    assert e.markdown_frame().count() == 5 and e.outline_frame().where("basis = 'native'").count() == 4
