@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut
+from leafmill.llm.common import Folder, cut
 
 
 class Rule(NamedTuple):
@@ -79,34 +79,53 @@ def _hits(text: Column, k: int, rule: Rule, todo: Column) -> Column:
     return F.when(run, F.filter(found, lambda x: x.hit.isNotNull())).otherwise(F.array().cast("array<struct<k:int,i:int,gap:int,hit:int,size:int>>"))
 
 
-def scan(addressed: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """Findings (blob, rule, start, end; code points, end exclusive) of unseen blobs."""
-    todo = unseen(addressed, rules, ledger).select(F.col("blob").alias("b"), F.col("doc_id").alias("d"), "todo")
-    rows = addressed.join(todo.hint("shuffle_hash"), F.col("blob").eqNullSafe(F.col("b")) & F.col("doc_id").eqNullSafe(F.col("d")))
+def scan(addressed: DataFrame, todo: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings (blob, rule, version, k, start, end; code points, end exclusive) of what unseen() gave."""
+    todo = todo.select(F.col("blob").alias("b"), F.col("doc_id").alias("d"), "todo")
+    rows = addressed.join(todo, F.col("blob").eqNullSafe(F.col("b")) & F.col("doc_id").eqNullSafe(F.col("d")))
     hits = rows.select("blob", F.explode(F.flatten(F.array(*[_hits(F.col("text"), k, r, F.col("todo")) for k, r in enumerate(rules)]))).alias("x"))
     hits = hits.select("blob", "x.*").dropDuplicates(["blob", "k", "i"])  # paths that repeat a row
     along = Window.partitionBy("blob", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     hits = hits.withColumn("end", F.sum(F.col("gap").cast("long") + F.col("hit")).over(along))
     least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("k") + 1)
     kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("k") + 1)
-    return hits.where(F.col("size") >= least).select("blob", kind.alias("rule"), "k", (F.col("end") - F.col("hit")).alias("start"), "end")
+    version = F.element_at(F.array(*[F.lit(r.version) for r in rules]), F.col("k") + 1)
+    return hits.where(F.col("size") >= least).select("blob", kind.alias("rule"), version.alias("version"), "k", (F.col("end") - F.col("hit")).alias("start"), "end")
 
 
-def ledger_rows(addressed: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
+def ledger_rows(todo: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """What a scan adds to the ledger: (blob, rule, version)."""
-    todo = unseen(addressed, rules, ledger).select("blob", F.explode("todo").alias("rule"))
-    return todo.join(F.broadcast(rule_table(addressed, rules)), "rule")
+    return todo.select("blob", F.explode("todo").alias("rule")).join(F.broadcast(rule_table(todo, rules)), "rule")
 
 
-def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, earlier: DataFrame | None = None, ledger: DataFrame | None = None) -> DataFrame:
+def scanned(addressed: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger under `folder` has not seen; findings of all blobs it ever saw.
+
+    Appends the new findings, then the new ledger rows: a run that dies between the two scans
+    those blobs again, and distinct() drops what was then found twice.
+    """
+    spark = addressed.sparkSession
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/ledger")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    ledger = spark.read.parquet(f"{folder}/ledger") if there else None
+    work = Folder(spark, "unseen")
+    todo = work.keep("todo", unseen(addressed, rules, ledger))
+    scan(addressed, todo, rules).write.mode("append").parquet(f"{folder}/findings")
+    ledger_rows(todo, rules).write.mode("append").parquet(f"{folder}/ledger")
+    work.only()
+    # Findings of rules, or of versions of them, that are no longer asked for stay out.
+    known = F.broadcast(rule_table(addressed, rules))
+    return spark.read.parquet(f"{folder}/findings").join(known, ["rule", "version"], "left_semi").distinct()
+
+
+def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, folder: str = "") -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    earlier: findings already in the ledger's care, as scan() returned them.
+    folder: where the ledger is; a new one in the checkpoint folder if none is given.
     """
     addressed = address(docs)
-    found = scan(addressed, rules, ledger)
-    if earlier is not None:
-        found = found.unionByName(earlier)
+    found = scanned(addressed, folder or Folder(docs.sparkSession, "ledger").path, rules)
     base = len(BASE)
     span = F.struct("start", "k", F.concat_ws(":", "rule", "start", "end").alias("said"))
     joined = lambda c: F.array_join(F.sort_array(c)["said"], ",")
@@ -121,18 +140,7 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, earlier: DataFrame
 
 
 def incremental(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Findings of every path, scanning only what the ledger under `folder` has not seen.
-
-    Appends the new findings, then the new ledger rows: a run that dies between the two
-    scans those blobs again, and distinct() below drops what was then found twice.
-    """
-    spark = docs.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/ledger")
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    ledger = spark.read.parquet(f"{folder}/ledger") if there else None
+    """Findings of every path, scanning only what the ledger under `folder` has not seen."""
     addressed = address(docs)
-    scan(addressed, rules, ledger).write.mode("append").parquet(f"{folder}/findings")
-    ledger_rows(addressed, rules, ledger).write.mode("append").parquet(f"{folder}/ledger")
-    found = spark.read.parquet(f"{folder}/findings").distinct()
+    found = scanned(addressed, folder, rules)
     return addressed.select("doc_id", "blob").join(found, "blob").select("doc_id", "rule", "start", "end")

@@ -46,3 +46,17 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert {r.rule for r in found if r.doc_id == 63} == {r.rule for r in found if r.doc_id == 64} == {"pem", "forge", "chat", "live", "hex"}
     again = secrets.incremental(both, folder).collect()
     assert sorted(map(str, again)) == sorted(map(str, found))
+
+
+def test_reports_through_a_ledger_agree(spark, tmp_path):
+    first, both = documents(spark, TEXTS[:2]), documents(spark, TEXTS)
+    folder = str(tmp_path / "ledger")
+    secrets.report(first, folder=folder).count()
+    seen = spark.read.parquet(f"{folder}/findings").count()
+    want = sorted(map(str, secrets.report(both).collect()))
+    assert sorted(map(str, secrets.report(both, folder=folder).collect())) == want
+    assert sorted(map(str, secrets.report(both, folder=folder).collect())) == want
+    assert 0 < seen < spark.read.parquet(f"{folder}/findings").count()
+    newer = (secrets.RULES[0]._replace(version=2, least=20), *secrets.RULES[1:])
+    rows = {r.doc_id: r for r in secrets.report(both, newer, folder).collect()}
+    assert rows[60].n_assign == 1  # what version 1 found besides is not reported
