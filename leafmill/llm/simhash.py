@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ascii_lower, cut
+from leafmill.llm.common import Folder, ascii_lower, cut, free_names, version_of
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SHINGLE, BITS, RADIUS = 3, 64, 3
@@ -117,7 +117,8 @@ def links(distinct: DataFrame, bucket: int = BUCKET, levels: tuple[int, ...] = (
 
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root) for every fingerprint with a link: alternating large and small stars."""
-    edges = cut(edges.select(F.col("fp_b").alias("u"), F.col("fp_a").alias("v")))
+    folder, turn = Folder(edges.sparkSession, "stars"), 0
+    edges = folder.keep("0", edges.select(F.col("fp_b").alias("u"), F.col("fp_a").alias("v")))
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -125,7 +126,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = cut(small.select("e.u", "e.v").where("u != v").distinct())
+        turn += 1
+        edges = folder.keep(f"{turn}", small.select("e.u", "e.v").where("u != v").distinct())
+        folder.only(f"{turn}")
         # Equal edge sets have equal counts and sums; a sum of hashes can't overflow a decimal.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
@@ -144,7 +147,8 @@ def group(docs: DataFrame) -> DataFrame:
     linked = cut(components(links(distinct.select("fp"))))
     named = linked.join(distinct, "fp")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = distinct.join(linked.join(least, "root"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    # Written out, so that the join below can deal a fingerprint of very many rows to several tasks.
+    classes = cut(distinct.join(linked.join(least, "root"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")))
     return prints.join(classes, "fp").select("doc_id", "version", "n_rows", "fp", "component_id", "root")
 
 
@@ -154,30 +158,26 @@ def report(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """docs with one row of each root in grouped (doc_id, version, n_rows, root).
-
-    The least (doc_id, version) stays, null ids last; of equal rows one. Ids play no part in
-    telling components apart: they can be null or have two texts.
-    """
+def firsts(grouped: DataFrame) -> DataFrame:
+    """(doc_id, version, n_rows): of each root the least (doc_id, version), null ids last."""
     place = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version", "n_rows"))
-    kept = cut(grouped.groupBy("root").agg(place.alias("k")).select(F.col("k.doc_id").alias("__kept"), F.col("k.version").alias("__version"), F.col("k.n_rows").alias("__n")))
-    rows = docs.withColumn("__v", F.xxhash64(F.coalesce("text", F.lit(""))))
-    left = rows.join(kept.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(F.col("__kept")) & (F.col("__v") == F.col("__version")), "left_semi")
-    repeated = not kept.where("__n > 1").isEmpty()
-    return (left.dropDuplicates(["doc_id", "__v"]) if repeated else left).drop("__v")
+    return grouped.groupBy("root").agg(place.alias("k")).select("k.doc_id", "k.version", "k.n_rows")
+
+
+def one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs that kept (doc_id, version, n_rows) names; of equal rows one."""
+    id_, version, n = free_names(docs.columns, "kept", "version", "n_rows")
+    kept = cut(kept.toDF(id_, version, n))
+    same = docs["doc_id"].eqNullSafe(F.col(id_)) & (version_of(docs["text"]) == F.col(version))
+    left = docs.join(kept, same, "left_semi")
+    if kept.where(F.col(n) > 1).isEmpty():
+        return left
+    return left.withColumn(version, version_of(F.col("text"))).dropDuplicates(["doc_id", version]).drop(version)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one that names it, and one row of an id.
+    """docs with one document of each component.
 
-    Where ids are null or repeat, one_of_each() keeps every component.
+    Ids play no part in telling components apart: they can be null or have two texts.
     """
-    grouped = cut(group(docs))
-    names = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = grouped.where(names).groupBy("doc_id").agg(F.min("version").alias("version"))
-    kept = kept.select(F.col("doc_id").alias("__kept"), F.col("version").alias("__version"))
-    version = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    left = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__kept")) & (version == F.col("__version")), "left_semi")
-    repeated = not grouped.where(names & (F.col("n_rows") > 1)).isEmpty()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    return one_of_each(docs, firsts(group(docs)))

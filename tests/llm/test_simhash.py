@@ -3,6 +3,7 @@ import string
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from leafmill.llm import simhash
 from tests.llm.cases import documents
@@ -69,13 +70,22 @@ def test_keep_one_and_empty(spark):
     docs = documents(spark, near(spark))
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    named = [r.component_id for r in simhash.group(docs).select("component_id").distinct().collect()]
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({n for n in named if n is not None})
+    assert kept.count() == simhash.group(docs).select("root").distinct().count()
     assert simhash.report(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
 def test_no_component_goes_with_its_id(spark):
     rows = [(None, f"text number {i} of nobody {'abcdefgh'[i] * 9} {i * i} said here") for i in range(6)] + [(4, "one text of the id four here"), (4, "something else under that very id"), (None, "one text of the id four here"), (5, "twice"), (5, "twice")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = [tuple(r) for r in simhash.one_of_each(docs, simhash.group(docs)).collect()]
+    kept = [tuple(r) for r in simhash.keep_one(docs).collect()]
     assert sorted(kept, key=str) == sorted({r for r in rows if r != (None, "one text of the id four here")}, key=str)
+
+
+def test_pivots_discard_candidates_and_no_link(spark):
+    prints = [((i * 0x9E3779B97F4A7C15) ^ (i << 40)) % (1 << 63) for i in range(300)] + [1 << i for i in range(60)]
+    table = simhash.pivot_table(spark.createDataFrame([(p,) for p in prints], "fp long"))
+    pairs = table.alias("a").join(table.alias("b"), F.expr("a.fp < b.fp"))
+    left = pairs.where(simhash._pivots_agree())
+    linked = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= simhash.RADIUS
+    assert left.count() < pairs.count() / 20
+    assert left.where(linked).count() == pairs.where(linked).count() > 0
