@@ -250,7 +250,7 @@ def f02_line_shapes(spark, d):
     return V.doc_lines(spark, d).where(F.col("text").rlike("[0-9]")).groupBy(T.shape(F.col("text")).alias("shape")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(Q.T04_EXTRACT)
 def t04_extract(spark, d):
     """Cleaned text of every document with what was changed."""
     return clean.clean(V.doc_lines(spark, d), V.doc_pages(spark, d))

@@ -269,6 +269,37 @@ SELECT count(*) AS pages, CAST(sum(len(regexp_extract_all(text, '(?i)[a-z0-9.]+@
 F12_ESCAPE = """
 SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;')) AS digest FROM pages
 """
+T04_EXTRACT = f"WITH {_LINES}, all_lines AS (SELECT * FROM doc_lines), {_HEADS}" + r""",
+kept AS (
+  SELECT doc_id, page, line, text FROM edge e
+  WHERE NOT (is_edge AND EXISTS (SELECT 1 FROM head h WHERE h.doc_id = e.doc_id AND h.shape = e.shape AND is_head))),
+l AS (
+  SELECT doc_id, text AS x, row_number() OVER (PARTITION BY doc_id ORDER BY page, line) AS i
+  FROM (SELECT * FROM kept UNION ALL SELECT doc_id, page, 2147483647, '' FROM doc_pages)),
+said AS (
+  SELECT doc_id, i, x, row_number() OVER d AS k, i - lag(i) OVER d AS gap,
+    coalesce(i - lag(i) OVER d <= 2 AND regexp_matches(lag(x) OVER d, '[\p{L}\p{N}_]-\s*$') AND regexp_matches(x, '^\p{Ll}'), false) AS fits
+  FROM l WHERE regexp_matches(x, '\S') WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+marked AS (SELECT *, (k - max(CASE WHEN NOT fits THEN k END) OVER (PARTITION BY doc_id ORDER BY k)) % 2 = 1 AS taken FROM said),
+joined AS (
+  SELECT doc_id, i, taken, gap, CASE WHEN lead(taken) OVER d THEN regexp_replace(rtrim(x), '-$', '') || ltrim(lead(x) OVER d) ELSE x END AS x
+  FROM marked WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+gone AS (SELECT doc_id, i FROM joined WHERE taken UNION SELECT doc_id, i - 1 FROM joined WHERE taken AND gap = 2),
+lines AS (
+  SELECT l.doc_id, l.i, trim(regexp_replace(coalesce(j.x, l.x), '[ \t]+', ' ', 'g')) AS x
+  FROM l LEFT JOIN joined j ON l.doc_id = j.doc_id AND l.i = j.i
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = l.doc_id AND g.i = l.i)),
+raw AS (SELECT doc_id, regexp_replace(regexp_replace(string_agg(x, chr(10) ORDER BY i), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS r FROM lines GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n_pages FROM doc_pages GROUP BY doc_id)
+SELECT r.doc_id, nfc_normalize(replace(replace(replace(replace(replace(replace(replace(replace(replace(r, chr(64256), 'ff'), chr(64257), 'fi'), chr(64258), 'fl'),
+  chr(64259), 'ffi'), chr(64260), 'ffl'), chr(64261), 'st'), chr(64262), 'st'), chr(173), ''), chr(160), ' ')) AS text,
+  n_pages >= 4 AS running_heads_checked,
+  (SELECT count(*) FROM doc_lines d WHERE d.doc_id = r.doc_id) - (SELECT count(*) FROM kept k WHERE k.doc_id = r.doc_id) AS running_heads_removed,
+  (SELECT count(*) FROM joined j WHERE taken AND j.doc_id = r.doc_id) AS hyphens_joined,
+  CAST(length(r) - length(translate(r, chr(64256) || chr(64257) || chr(64258) || chr(64259) || chr(64260) || chr(64261) || chr(64262) || chr(173) || chr(160), '')) AS BIGINT) AS unicode_fixed
+FROM raw r JOIN counts c ON r.doc_id = c.doc_id
+"""
+
 W03_HYPHEN_JOIN = r"""
 WITH l AS (
   SELECT doc_id, unnest(x) AS x, generate_subscripts(x, 1) AS i
