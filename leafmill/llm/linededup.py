@@ -63,7 +63,8 @@ def later(docs: DataFrame, folder: Folder, unit: str = "line") -> DataFrame:
     kept = found.groupBy("digest").agg(F.min("place").alias("kept"), F.max("place").alias("last")).where("kept <> last").select("digest", "kept")
     # Written out, so that the join can deal a unit of very many places to several tasks.
     kept = folder.keep("kept", kept)
-    return found.join(kept, "digest").where("place <> kept").select("place.*", "words")
+    # One plan at every size: a merge join, whose larger side is split where a key is hot.
+    return found.join(kept.hint("merge"), "digest").where("place <> kept").select("place.*", "words")
 
 
 def removals(docs: DataFrame, unit: str = "line", least_run: int = LEAST_RUN) -> DataFrame:
