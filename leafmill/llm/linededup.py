@@ -114,7 +114,7 @@ def deduplicated(docs: DataFrame, unit: str = "line", least_run: int = LEAST_RUN
     id_, version, runs, whole, made, *added = free_names([*docs.columns, "text"], "doc", "version", "runs", "whole", "made", "n_units", "n_removed", "spans")
     gone = removals(docs, unit, least_run).toDF(id_, version, runs)
     rows = docs.withColumn(whole, _text())
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (version_of(F.col(whole)) == F.col(version)), "left")
+    rows = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_)) & (version_of(F.col(whole)) == F.col(version)), "left")
     touched = F.col(runs).isNotNull()
     cut = F.pandas_udf(_cut, "text string, spans array<string>, n_removed long")
     parts = units(F.col(whole), unit)
