@@ -36,6 +36,8 @@ REACH = (LENGTH - GRAM) // 2
 LONG = GRAM + REACH
 #: Bytes hashed at a time; places within them fit 20 bits.
 CHUNK = 1 << 16
+#: Places and names in a shard; most of a worker's memory are arrays of these.
+PLACE = np.int32
 _A, _B, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64((1 << 20) - 1)
 
 
@@ -115,7 +117,7 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 def _cuts(low: np.ndarray, high: np.ndarray, size: int) -> list[int]:
     """Bounds of the fewest ranges of characters that hold no pair low < high both."""
-    nearest = np.full(size + 1, size, dtype=np.int64)
+    nearest = np.full(size + 1, size, dtype=PLACE)
     np.minimum.at(nearest, low, high)
     nearest = np.minimum.accumulate(nearest[::-1])[::-1]
     made = [0]
@@ -129,9 +131,9 @@ class _Buckets:
 
     def __init__(self, text: np.ndarray, members: np.ndarray, size: int):
         self.text, counts = text, np.bincount(text[members], minlength=size)
-        self.start = np.r_[0, np.cumsum(counts)]
-        self.next, self.held = self.start[:-1].copy(), np.empty(len(members), dtype=np.int64)
-        self.char = np.repeat(np.arange(size), counts)
+        self.start = np.r_[0, np.cumsum(counts)].astype(PLACE)
+        self.next, self.held = self.start[:-1].copy(), np.empty(len(members), dtype=PLACE)
+        self.char = np.repeat(np.arange(size, dtype=PLACE), counts)
 
     def put(self, places: np.ndarray) -> None:
         if not len(places):
@@ -139,17 +141,19 @@ class _Buckets:
         chars = self.text[places]
         by = np.argsort(chars, kind="stable")
         chars = chars[by]
-        first = np.concatenate(([0], np.flatnonzero(chars[1:] != chars[:-1]) + 1))
-        ends = np.append(first[1:], len(chars))
+        first = np.concatenate(([0], np.flatnonzero(chars[1:] != chars[:-1]) + 1)).astype(PLACE)
+        ends = np.append(first[1:], PLACE(len(chars)))
         heads, count = chars[first], ends - first
-        self.held[np.arange(len(chars)) + np.repeat(self.next[heads] - first, count)] = places[by]
+        at = np.arange(len(chars), dtype=PLACE)
+        at += np.repeat(self.next[heads] - first, count)
+        self.held[at] = places[by]
         self.next[heads] += count
 
     def complete(self, low: int, high: int) -> bool:
         return bool((self.next[low:high] == self.start[low + 1 : high + 1]).all())
 
     def arrived(self, low: int, high: int) -> np.ndarray:
-        at = np.arange(self.start[low], self.start[high])
+        at = np.arange(self.start[low], self.start[high], dtype=PLACE)
         return self.held[at[at < self.next[self.char[at]]]]
 
     def whole(self, low: int, high: int) -> np.ndarray:
@@ -176,11 +180,12 @@ def _induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, size: int) ->
         return buckets.whole(low, high)
 
     here, after, smaller = text[:-1], text[1:], is_s[:-1]
-    larger, less = _Buckets(text, np.flatnonzero(~is_s), size), _Buckets(text, np.flatnonzero(is_s), size)
-    larger.put(np.array([len(text) - 1]))  # by the end, which is smaller than all
+    larger = _Buckets(text, np.flatnonzero(~is_s), size)
+    larger.put(np.array([len(text) - 1], dtype=PLACE))  # by the end, which is smaller than all
     falls = ~smaller & (after < here)
     bounds = _cuts(after[falls], here[falls], size)
     at = np.searchsorted(text[seeds], bounds)
+    del falls
     twin, other = same & ~smaller_before, ~same & ~smaller_before & ~first
     for low, high, a, b in zip(bounds, bounds[1:], at.tolist(), at[1:].tolist()):
         found = scan(larger, twin, low, high)
@@ -191,6 +196,8 @@ def _induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, size: int) ->
     # The same from the other end, with characters counted downwards.
     rises = smaller & (here < after)
     bounds = [size - x for x in _cuts(size - 1 - after[rises], size - 1 - here[rises], size)]
+    del rises
+    less = _Buckets(text, np.flatnonzero(is_s), size)
     twin, other = same & smaller_before, ~same & smaller_before
     for high, low in zip(bounds, bounds[1:]):
         found = np.concatenate([scan(less, twin, low, high), larger.whole(low, high)[::-1]])
@@ -198,8 +205,9 @@ def _induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, size: int) ->
             found = found[np.argsort(-text[found], kind="stable")]
         less.put(found[other[found]] - 1)
     # A bucket of S-types was filled from its largest on.
-    turned = less.start[less.char] + less.start[less.char + 1] - 1 - np.arange(len(less.char))
+    turned = less.start[less.char] + less.start[less.char + 1] - 1 - np.arange(len(less.char), dtype=PLACE)
     whole = np.concatenate([larger.held, less.held[turned]])
+    del larger, less, turned, same, twin, other, smaller_before, first
     return whole[np.argsort(text[whole], kind="stable")]
 
 
@@ -227,22 +235,27 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     change = np.flatnonzero(np.r_[text[1:] != text[:-1], True])
     up = np.r_[text[change[:-1]] < text[change[:-1] + 1], False]
     is_s = np.repeat(up, np.diff(np.r_[-1, change]))
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]).astype(PLACE) + PLACE(1)
+    del change, up
     seeds = lms[np.argsort(text[lms], kind="stable")]
     if len(lms) > 1:
         mark = np.zeros(n, dtype=bool)
         mark[lms] = True
         first = _induce(text, is_s, seeds, size)
         by_substring = first[mark[first]]
-        length = np.zeros(n, dtype=np.int64)
+        del first, mark
+        length = np.zeros(n, dtype=PLACE)
         length[lms] = np.diff(np.r_[lms, n]) + 1
         length[lms[-1]] = n + 2  # it ends with the text, as no other does
         a, b = by_substring[:-1], by_substring[1:]
-        name = np.cumsum(np.r_[0, ~_same_substrings(text, a, b, length[a], length[b])])
-        names = np.empty(n, dtype=np.int64)
+        name = np.cumsum(np.r_[0, ~_same_substrings(text, a, b, length[a], length[b])], dtype=PLACE)
+        del length, a, b
+        names = np.empty(n, dtype=PLACE)
         names[by_substring] = name
-        count = int(name[-1]) + 1
-        seeds = by_substring if count == len(lms) else lms[suffix_array(names[lms], count)]
+        count, names = int(name[-1]) + 1, names[lms]
+        del name
+        seeds = by_substring if count == len(lms) else lms[suffix_array(names, count)]
+        del names
     return _induce(text, is_s, seeds, size)
 
 
@@ -252,7 +265,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, mos
     All segments advance together, each place starting from its left neighbour's less one.
     """
     n = len(text)
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, -1, dtype=PLACE)
     before[order[1:]] = order[:-1]
     made = np.zeros(n, dtype=np.int16)
     sizes = np.diff(np.r_[begins, n])

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -80,3 +81,15 @@ def test_empty_table(spark):
 
 def test_small_table_matches_brute_force(spark):
     check(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+
+
+def test_a_shard_needs_few_bytes_for_each_of_its_own():
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 105, 3000, np.uint8).tobytes()
+    pieces = [base[a : a + 300] for a in rng.integers(0, 2700, 2000).tolist()]
+    tracemalloc.start()
+    flags = S.repeated_starts(pieces)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 48 * sum(map(len, pieces))
+    assert all(f.dtype == bool and len(f) == 101 for f in flags) and sum(f.sum() for f in flags) > 100_000
