@@ -79,3 +79,23 @@ def test_empty(spark):
     docs = documents(spark)
     assert P.near_dedup(spark, docs.limit(0), "").count() == 0
     assert P.near_dedup(spark, docs, "").columns == docs.columns
+
+
+def test_stage_joins_components_of_simhash(spark):
+    draw = random.Random(2)
+    word = lambda n: " ".join(f"u{draw.randrange(10**6)}" for _ in range(n))
+    mass = "alpha beta gamma " * 60
+    texts = [mass + word(20), mass + word(20), word(200)]  # SimHash links the first two, shingles don't
+    bridge = mass + word(20)
+    wide = bridge + " " + word(150)
+    texts += [bridge, wide, " ".join(wide.split()[:-6]) + " " + word(6), word(3)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string")
+    pairs = {tuple(sorted(p)) for p in brute_pairs(texts)}
+    prints = {r.doc_id: r.fp for r in simhash.group(docs).where("doc_id is not null").collect()}
+    pairs |= {(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS}
+    assert (0, 1) in pairs and (0, 1) not in {tuple(sorted(p)) for p in brute_pairs(texts)} and (4, 5) in pairs
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    assert {r.doc_id for r in P.near_dedup(spark, docs, "").collect()} == set(root)
